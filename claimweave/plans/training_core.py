@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.operators.instants import normalise_instants
+from claimweave.operators import heavy, periods, wide
 from claimweave.plans.runtime import table
 
 
@@ -45,3 +46,62 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records with a normal form; estimated zones don't count as known ones here."""
     rows = instants_all(spark, folder).where("norm is not null and basis <> 'estimated'")
     return rows.select("tbl", "rec_id", "norm").distinct()
+
+
+def _single_typed(spark: SparkSession, folder: str) -> list[tuple[str, str, bool]]:
+    types = table(spark, folder, "predicate_types")
+    return [a for a in wide.attribute_list(types) if not a[2] and a[1] in ("integer", "double", "boolean", "iri")]
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of single-valued typed predicates that have asserted rows but can't be filled."""
+    attributes = _single_typed(spark, folder)
+    full = wide.grid(wide.cells(table(spark, folder, "statements"), attributes), len(attributes))
+    return wide.unfilled_cells(full, attributes).select("subject", "predicate")
+
+
+def p2_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """The wide table itself, over all predicates of the register."""
+    return wide.pivot_typed(table(spark, folder, "statements"), wide.attribute_list(table(spark, folder, "predicate_types")))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored counts per batch and key that are null, missing, wrong or without any statement."""
+    stmts = table(spark, folder, "statements")
+    out = None
+    for listing, stored, key in (("predicate", "predicate_rows", "predicate"), ("context", "context_rows", "context")):
+        real = heavy.distinct_counts(stmts, "batch_id", key, "stmt_id")
+        # one stored row per batch and key; repeated or contradicting ones are wrong unless all agree
+        told = table(spark, folder, stored).groupBy("batch_id", key).agg(
+            F.min("count").alias("lo"), F.max("count").alias("hi"), F.count("*").alias("rows"), F.count("count").alias("known")
+        )
+        both = real.join(told, ["batch_id", key], "full_outer")
+        right = (F.col("rows") == F.col("known")) & (F.col("lo") == F.col("n")) & (F.col("hi") == F.col("n"))
+        bad = both.where(~F.coalesce(right, F.lit(False))).select(
+            F.lit(listing).alias("listing"), F.col("batch_id").cast("int").alias("batch_id"), F.col(key).alias("item")
+        )
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
+def history_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """History rows as ``subject, predicate, axis, lo, hi``: days for valid time, microseconds for transaction time."""
+    h = table(spark, folder, "history")
+    both = F.array(
+        F.struct(F.lit("valid").alias("axis"), F.unix_date("valid_lo").cast("long").alias("lo"), F.unix_date("valid_hi").cast("long").alias("hi")),
+        F.struct(
+            F.lit("tx").alias("axis"), F.unix_micros(F.col("tx_lo").cast("timestamp")).alias("lo"),
+            F.unix_micros(F.col("tx_hi").cast("timestamp")).alias("hi"),
+        ),
+    )
+    return h.select("subject", "predicate", F.inline(both))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Gaps between the continuous periods of each subject and predicate, on both time axes."""
+    rows = history_intervals(spark, folder)
+    keys = ["subject", "predicate", "axis"]
+    # cells for hot groups: 512 days, 2**36 microseconds (19 hours)
+    valid = periods.gaps(rows.where("axis = 'valid'"), keys, 9)
+    tx = periods.gaps(rows.where("axis = 'tx'"), keys, 36)
+    return valid.unionByName(tx)
