@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweave.operators.hierarchy import build_hierarchy
 from claimweave.operators.instants import normalise_instants
 from claimweave.operators import heavy, periods, wide
 from claimweave.plans.runtime import table
@@ -105,3 +106,17 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     valid = periods.gaps(rows.where("axis = 'valid'"), keys, 9)
     tx = periods.gaps(rows.where("axis = 'tx'"), keys, 36)
     return valid.unionByName(tx)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Root and depth of every context; -1 and the loop's smallest iri in a loop or below one."""
+    h = build_hierarchy(table(spark, folder, "contexts"), "iri", "parent", "req_id")
+    return h.nodes.select(F.col("node").alias("iri"), "root", "depth")
+
+
+def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Full path and number of descendants of every context outside loops."""
+    h = build_hierarchy(table(spark, folder, "contexts"), "iri", "parent", "req_id")
+    sizes = h.nodes.where("depth >= 0").select("node", (F.col("size") - 1).alias("n_descendants"))
+    paths = h.full_paths().select("node", F.array_join("path", " > ").alias("path"))
+    return paths.join(sizes, "node").select(F.col("node").alias("iri"), "path", "n_descendants")
