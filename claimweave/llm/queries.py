@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import groups, names
+from claimweave.llm import groups, leaks, names, packing, reading
 from claimweave.plans.runtime import table
 
 
@@ -37,3 +37,37 @@ def name_records(spark: SparkSession, folder: str) -> DataFrame:
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of name records that mean the same person or institution."""
     return names.linked_pairs(names.link_names(name_records(spark, folder)))
+
+
+def p8_packing(spark: SparkSession, folder: str, capacity: int = 2_048) -> DataFrame:
+    """Container of every document text, or of its pieces where it is larger than a container."""
+    counts = packing.token_counts(table(spark, folder, "documents"))
+    return packing.pack(counts, capacity).select("doc_id", "version", "piece", "n_tokens", "container")
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaks with the extent of each."""
+    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least half of a test item's words in one stretch."""
+    return p9_leaks(spark, folder).select("doc_id", "item_id").distinct()
+
+
+def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Reading grade and band of every document row."""
+    docs = table(spark, folder, "documents")
+    return reading.reading_level(docs, reading.fit_model(docs))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents mostly written for first readers (1) or for scholars (3)."""
+    return p10_levels(spark, folder).where("band in (1, 3)").select("doc_id", "band").distinct()
+
+
+def p10_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean absolute error of out-of-fold grades per fold of sources, beside that of a constant."""
+    model = reading.fit_model(table(spark, folder, "documents"))
+    rows = [(f, n, round(e, 4), round(c, 4)) for f, n, e, c in model.folds]
+    return spark.createDataFrame(rows, "fold string, n_sentences int, abs_error double, abs_error_constant double")

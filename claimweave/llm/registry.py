@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from claimweave.llm import queries as q
 
-QUERIES = {n: getattr(q, n) for n in ("p3_found", "p7_found")}
+QUERIES = {n: getattr(q, n) for n in ("p3_found", "p7_found", "p8_packing", "p9_found", "p9_leaks", "p10_found", "p10_levels", "p10_cross_validation")}
 SQL: dict[str, str] = {}
 
 
