@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from claimweave.functions.timetext import fence
+
 
 def normalised_entropy(counts: Column) -> Column:
     """Shannon entropy of an array of counts over log2 of the number of non-zero ones; 0 for one category or none."""
@@ -35,21 +37,24 @@ def paraconsistency(claims: DataFrame, window_end=None, samples: int = 5) -> Dat
     return scored.withColumn("severity", severity).drop("counts")
 
 
-def mad_z(value: Column, prior: Column) -> Column:
-    """(x - median) / (1.4826 * MAD) against an array; flat arrays give 0 or infinity, empty ones null."""
-    med = _median(prior)
-    mad = _median(F.transform(prior, lambda x: F.abs(x - med)))
-    return F.when(F.size(prior) == 0, F.lit(None).cast("double")).when(
-        mad == 0, F.when(value == med, 0.0).otherwise(F.lit(float("inf")))
-    ).otherwise((value - med) / (1.4826 * mad))
-
-
-def _median(a: Column) -> Column:
+def median_of(a: Column) -> Column:
+    """Median of an array column (the mean of the middle two for an even length); pass a plain column, it is used four times."""
     s, n = F.sort_array(a), F.size(a)
     hi = F.get(s, F.floor(n / 2).cast("int"))
     return F.when(n % 2 == 1, hi).otherwise((F.get(s, (n / 2 - 1).cast("int")) + hi) / 2)
 
 
+def with_mad_z(df: DataFrame, value: str, prior: str, out: str = "z") -> DataFrame:
+    """Adds (value - median) / (1.4826 * MAD) against an array column; a flat array gives 0 or infinity, an empty one null."""
+    keep = df.columns
+    s1 = fence(df, keep, median_of(F.col(prior)).alias("_med"))
+    s2 = fence(s1, [*keep, "_med"], F.transform(prior, lambda x: F.abs(x - F.col("_med"))).alias("_dev"))
+    s3 = fence(s2, [*keep, "_med"], median_of(F.col("_dev")).alias("_mad"))
+    gap = F.col(value) - F.col("_med")
+    z = F.when(F.col("_mad") == 0, F.when(gap == 0, 0.0).otherwise(F.lit(float("inf")))).otherwise(gap / (1.4826 * F.col("_mad")))
+    return fence(s3, keep, z.alias(out))
+
+
 def rule_duration(reports: DataFrame, days: int = 30, least: int = 3, most: int = 100, warn: float = 5.0, critical: float = 10.0) -> DataFrame:
     """Runs that took unusually long for their rule: ``rule, report_id, z, severity``.
 
@@ -62,7 +67,8 @@ def rule_duration(reports: DataFrame, days: int = 30, least: int = 3, most: int
     seen = timed.withColumn("_prior", F.collect_list(F.struct("evaluated_at", "duration")).over(w))
     since = F.col("evaluated_at") - F.make_dt_interval(F.lit(days))
     prior = F.transform(F.filter("_prior", lambda p: p["evaluated_at"] >= since), lambda p: p["duration"].cast("double"))
-    out = seen.withColumn("_d", prior).where(F.size("_d") >= least).withColumn("z", mad_z(F.col("duration").cast("double"), F.col("_d")))
+    near = fence(seen, ["rule", "report_id"], F.col("duration").cast("double").alias("_x"), prior.alias("_d"))
+    out = with_mad_z(near.where(F.size("_d") >= least), "_x", "_d")
     return out.where(F.col("z") > warn).select("rule", "report_id", "z", F.when(F.col("z") > critical, "critical").otherwise("warning").alias("severity"))
 
 

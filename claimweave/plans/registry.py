@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+from claimweave.plans import claim_queries as c
 from claimweave.plans import training_core as t
 
-QUERIES = {n: getattr(t, n) for n in ("p1_found", "p2_found", "p2_wide", "p4_found", "p4_paths", "p5_found", "p6_found")}
-SQL: dict[str, str] = {}
+TRAINING = {n: getattr(t, n) for n in ("p1_found", "p2_found", "p2_wide", "p4_found", "p4_paths", "p5_found", "p6_found")}
 
 
 def queries():
-    return QUERIES
+    return {**TRAINING, **c.QUERIES}
 
 
 def oracle_sql():
-    return SQL
+    return {**t.SQL, **c.SQL}
 
 
 def flagship(spark, folder):
-    return t.p6_found(spark, folder)
+    return c.flagship(spark, folder)

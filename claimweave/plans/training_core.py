@@ -120,3 +120,24 @@ def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
     sizes = h.nodes.where("depth >= 0").select("node", (F.col("size") - 1).alias("n_descendants"))
     paths = h.full_paths().select("node", F.array_join("path", " > ").alias("path"))
     return paths.join(sizes, "node").select(F.col("node").alias("iri"), "path", "n_descendants")
+
+
+SQL = {
+    "p6_found": (
+        "SELECT DISTINCT 'predicate' AS listing, batch_id, predicate AS item FROM "
+        "(SELECT batch_id, predicate, min(count) AS lo, max(count) AS hi, count(*) AS r, count(count) AS k FROM predicate_rows GROUP BY 1, 2) t FULL JOIN "
+        "(SELECT batch_id, predicate, count(DISTINCT stmt_id) AS n FROM statements WHERE batch_id IS NOT NULL AND predicate IS NOT NULL GROUP BY 1, 2) s USING (batch_id, predicate) "
+        "WHERE NOT coalesce(r = k AND lo = n AND hi = n, false) UNION ALL "
+        "SELECT DISTINCT 'context', batch_id, context FROM "
+        "(SELECT batch_id, context, min(count) AS lo, max(count) AS hi, count(*) AS r, count(count) AS k FROM context_rows GROUP BY 1, 2) t FULL JOIN "
+        "(SELECT batch_id, context, count(DISTINCT stmt_id) AS n FROM statements WHERE batch_id IS NOT NULL AND context IS NOT NULL GROUP BY 1, 2) s USING (batch_id, context) "
+        "WHERE NOT coalesce(r = k AND lo = n AND hi = n, false)"
+    ),
+    "p5_found": (
+        "WITH i AS (SELECT subject, predicate, 'valid' AS axis, coalesce(date_diff('day', DATE '1970-01-01', valid_lo), -4611686018427387904) AS lo, "
+        "coalesce(date_diff('day', DATE '1970-01-01', valid_hi), 4611686018427387904) AS hi FROM history UNION ALL "
+        "SELECT subject, predicate, 'tx', coalesce(epoch_us(tx_lo), -4611686018427387904), coalesce(epoch_us(tx_hi), 4611686018427387904) FROM history), "
+        "o AS (SELECT *, max(hi) OVER (PARTITION BY subject, predicate, axis ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM i WHERE lo < hi AND subject IS NOT NULL AND predicate IS NOT NULL) "
+        "SELECT subject, predicate, axis, CAST(e AS BIGINT) AS gap_lo, CAST(lo AS BIGINT) AS gap_hi FROM o WHERE lo > e"
+    ),
+}
