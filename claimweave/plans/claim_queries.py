@@ -408,3 +408,43 @@ def list_contexts(spark, folder):
     open_ = fx.claims(spark, folder).where("tx_hi is null").groupBy("context").agg(F.count_distinct("statement_id").alias("k"))
     src = table(spark, folder, "sources").select(F.col("id").alias("source"), F.col("context_iri").alias("context"))
     return src.join(open_, "context", "left").select("source", F.coalesce("k", F.lit(0)).alias("n"))
+
+
+def _store(spark, folder):
+    from claimweave.query import Store
+
+    ids = table(spark, folder, "history").select("statement_id").distinct()
+    k = F.ascii("statement_id")
+    return Store(
+        fx.claims(spark, folder), contexts=fx.contexts(spark, folder), arguments=fx.arguments(spark, folder),
+        modality=ids.where(k % 2 == 0).select("statement_id", F.when(k % 4 == 0, "descriptive").otherwise("inferred").alias("modality")),
+    )
+
+
+@query(
+    "SELECT a.subject AS p, b.subject AS q FROM claims a JOIN claims b ON a.object_iri = b.object_iri WHERE a.predicate = 'ex:residesIn' AND b.predicate = 'ex:ownedBy' "
+    "AND a.tx_hi IS NULL AND b.tx_hi IS NULL AND a.polarity = 'asserted' AND b.polarity = 'asserted'", C,
+)
+def language_join(spark, folder):
+    """Two unpinned patterns joined on their object."""
+    from claimweave.query import run
+
+    return run(_store(spark, folder), "MATCH ?p ex:residesIn ?x, ?q ex:ownedBy ?x PROJECT ?p, ?q")
+
+
+@query(
+    "SELECT subject AS s, predicate AS p, object_iri AS o FROM claims WHERE tx_hi IS NULL AND polarity = 'asserted' AND maturity >= 2 AND object_iri IS NOT NULL AND predicate <> 'ex:holdsOffice' AND ascii(statement_id) % 4 = 0 "
+    "AND context IN (SELECT iri FROM sc)", C, X, UNDER,
+)
+def language_overlays(spark, folder):
+    from claimweave.query import run
+
+    text = "MATCH ?s ?p ?o SCOPE include ctx:src/s01, ctx:src/s12 MATURITY >= 2 MODALITY descriptive FILTER ?p != ex:holdsOffice PREDICATES STRICT"
+    return run(_store(spark, folder), text).where("not startswith(o, '{')")
+
+
+@query("SELECT subject AS s, context AS g FROM claims WHERE tx_hi IS NULL AND polarity = 'asserted' AND predicate = 'ex:marriedTo'", C)
+def sparql_graph(spark, folder):
+    from claimweave.query import run
+
+    return run(_store(spark, folder), "PREFIX e: <ex:> SELECT ?s ?g WHERE { GRAPH ?g { ?s e:marriedTo ?o . } }")
