@@ -42,12 +42,14 @@ def short_iri(x: Column, prefix: str = "ex:", full: str = "http://example.org/")
 def typed_key(kind: Column, text: Column, iri: Column) -> Column:
     """Canonical text of a value as its declared type, null if it doesn't fit.
 
-    Equal keys mean equal typed values. Whole numbers beyond a 64-bit integer don't fit.
+    Equal keys mean equal typed values. Numbers beyond a 64-bit integer or a
+    double don't fit.
     """
     v = trimmed(text)
     number = F.when(v.rlike(_GROUPED) | v.rlike(_BARE), F.regexp_replace(v, ",", "").try_cast("decimal(38,12)"))
     integer = F.when(number == F.floor(number), number.try_cast("bigint").cast("string"))
-    double = F.when(v.rlike(_DECIMAL), (F.regexp_replace(v, ",", ".").try_cast("double") + F.lit(0.0)).cast("string"))
+    real = F.when(v.rlike(_DECIMAL), F.regexp_replace(v, ",", ".").try_cast("double") + F.lit(0.0))
+    double = F.when(F.abs(real) < float("inf"), real.cast("string"))
     low = F.lower(v)
     boolean = F.when(low.isin("true", "yes", "y", "1"), "true").when(low.isin("false", "no", "n", "0"), "false")
     return (
@@ -138,9 +140,10 @@ def many_values_long(statements: DataFrame, attributes: list[tuple[str, str, boo
 
 
 def unfilled_cells(wide: DataFrame, attributes: list[tuple[str, str, bool]]) -> DataFrame:
-    """``subject, predicate, reason`` of the grid's cells that have rows but can't be filled."""
+    """``subject, predicate, reason`` of the grid's single-valued cells that have rows but can't be filled."""
+    single = F.array(*[F.lit(not many) for _, _, many in attributes])
     names = F.array(*[F.lit(p) for p, _, _ in attributes])
-    bad = F.filter("cells", lambda c: (c["n"] > 0) & ((c["fits"] == 0) | (c["lo"] != c["hi"])))
+    bad = F.filter("cells", lambda c: (c["n"] > 0) & F.get(single, c["pos"]) & ((c["fits"] == 0) | (c["lo"] != c["hi"])))
     return wide.where(F.size(bad) > 0).select("subject", F.explode(bad).alias("c")).select(
         "subject", F.get(names, F.col("c.pos")).alias("predicate"),
         F.when(F.col("c.fits") == 0, "no value fits").otherwise("values differ").alias("reason"),
