@@ -87,13 +87,12 @@ def solve_histogram(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds
     eta = np.log(len(sizes) + 1) * 4
     for _ in range(rounds):
         left = share - share.min()
-        weight = np.exp(-eta * left) / counts
-        # equal shares: weight by volume so that the first rounds fill containers
-        config = best_configuration(sizes, weight * (1 + 1e-9 * sizes), counts, capacity)
+        # prices start at volume, which fills containers, and fall with what is covered already
+        config = best_configuration(sizes, sizes * np.exp(-eta * left), counts, capacity)
         used = config > 0
         if not used.any():
             break
-        step = float((counts[used] / config[used]).min()) / 8
+        step = float((counts[used] / config[used]).min()) / 16
         key = config.tobytes()
         found[key] = found.get(key, 0.0) + step
         share[used] += step * config[used] / counts[used]
