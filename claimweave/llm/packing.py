@@ -53,7 +53,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
 
 
 def best_configuration(sizes: np.ndarray, weight: np.ndarray, limit: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts per size of the heaviest multiset that fits (unbounded knapsack), cut to the items there are."""
+    """Counts per size of the heaviest multiset that fits (unbounded knapsack), cut to the items there are and filled up again."""
     value = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1)
     for c in range(1, capacity + 1):
@@ -73,45 +73,79 @@ def best_configuration(sizes: np.ndarray, weight: np.ndarray, limit: np.ndarray,
         else:
             out[j] += 1
             c -= int(sizes[j])
-    return np.minimum(out, limit)
+    out = np.minimum(out, limit)
+    room = capacity - int((out * sizes).sum())
+    for j in np.argsort(-weight / sizes, kind="stable"):  # what the cut left empty, dearest per token first
+        if room < sizes[0]:
+            break
+        more = min(int(limit[j] - out[j]), room // int(sizes[j]))
+        if more > 0:
+            out[j] += more
+            room -= more * int(sizes[j])
+    return out
+
 
+def solve_histogram(
+    sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 120, left_over: int = 300_000
+) -> list[tuple[int, dict[int, int]]]:
+    """Containers to fill: (how many, {size: items each}), covering every count exactly.
 
-def solve_histogram(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 120) -> list[tuple[int, dict[int, int]]]:
-    """Containers to fill: (how many, {size: items each}), covering every count exactly."""
+    The program is solved and rounded down again for what is left until at most
+    ``left_over`` items remain, which best fit places one by one. So the work is bounded
+    by sizes and rounds, and only grows with the logarithm of the counts.
+    """
     order = np.argsort(sizes)
-    sizes, counts = sizes[order].astype(np.int64), counts[order].astype(np.int64)
-    if not len(sizes):
-        return []
+    sizes, remaining = sizes[order].astype(np.int64), counts[order].astype(np.int64)
+    made: dict[tuple[tuple[int, int], ...], int] = {}
+    first = True
+    while first or remaining.sum() > left_over:
+        live = remaining > 0
+        if not live.any():
+            break
+        taken = _round_of_program(sizes[live], remaining[live], capacity, rounds if first else rounds // 3, left_over)
+        first = False
+        used_up = np.zeros(int(live.sum()), np.int64)
+        for n, config in taken:
+            used = config > 0
+            key = tuple(zip(sizes[live][used].tolist(), config[used].tolist()))
+            made[key] = made.get(key, 0) + n
+            used_up += n * config
+        remaining[live] -= used_up
+    for config in best_fit(sizes, remaining, capacity):
+        made[config] = made.get(config, 0) + 1
+    return [(n, dict(config)) for config, n in made.items()]
+
+
+def _round_of_program(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, left_over: int) -> list[tuple[int, np.ndarray]]:
+    """One solution by multiplicative weights, rounded down: (containers, counts per size)."""
     share = np.zeros(len(sizes))  # part of each size covered so far
     found: dict[bytes, float] = {}
     eta = np.log(len(sizes) + 1) * 4
     for _ in range(rounds):
-        left = share - share.min()
         # prices start at volume, which fills containers, and fall with what is covered already
-        config = best_configuration(sizes, sizes * np.exp(-eta * left), counts, capacity)
+        config = best_configuration(sizes, sizes * np.exp(-eta * (share - share.min())), counts, capacity)
         used = config > 0
-        if not used.any():
-            break
         step = float((counts[used] / config[used]).min()) / 16
         key = config.tobytes()
         found[key] = found.get(key, 0.0) + step
         share[used] += step * config[used] / counts[used]
-    # the fractional solution scaled to cover each size at most once, then rounded down
-    configs = [(np.frombuffer(k, np.int64), x) for k, x in found.items()]
-    remaining = counts.copy()
-    out: list[tuple[int, dict[int, int]]] = []
-    scale = 1.0 / max(share.max(), 1e-12)
-    fill = [(float((c * sizes).sum()), c, x) for c, x in configs]
-    for _, c, x in sorted(fill, key=lambda t: -t[0]):
+    remaining, out = counts.copy(), []
+    scale = 1.0 / max(float(share.max()), 1e-12)
+    configs = sorted(((np.frombuffer(k, np.int64), x) for k, x in found.items()), key=lambda t: -int((t[0] * sizes).sum()))
+    for c, x in configs:
         used = c > 0
-        n = int(min(x * scale, (remaining[used] // c[used]).min()))
+        n = int(min(x * scale, int((remaining[used] // c[used]).min())))
         if n > 0:
-            out.append((n, {int(s): int(a) for s, a in zip(sizes[used], c[used])}))
+            out.append((n, c))
             remaining = remaining - n * c
-    made: dict[tuple[tuple[int, int], ...], int] = {}
-    for config in best_fit(sizes, remaining, capacity):
-        made[config] = made.get(config, 0) + 1
-    return out + [(n, dict(config)) for config, n in made.items()]
+    if remaining.sum() > left_over and 4 * remaining.sum() > 3 * counts.sum():  # little survived rounding: use the fullest ones as often as they go
+        for c, _ in configs:
+            used = c > 0
+            n = int((remaining[used] // c[used]).min())
+            if n > 0:
+                out.append((n, c))
+                remaining = remaining - n * c
+    return out
 
 
 def best_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, int], ...]]:
