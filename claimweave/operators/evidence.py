@@ -69,7 +69,7 @@ def lifecycle_stages(claims: DataFrame, stages: dict[str, DataFrame], absent: di
     names = [*stages, *(absent or {})]
     rows = F.array(*[F.struct(F.lit(n).alias("stage"), F.col(f"_{n}").alias("reached")) for n in names])
     got = out.select("context", F.inline(rows)).groupBy("context", "stage").agg(F.count_if("reached").alias("reached_count"), F.count("*").alias("total_count"))
-    return got.withColumn("coverage", F.concat(F.format_number(100.0 * F.col("reached_count") / F.col("total_count"), "0.0"), F.lit("%")))
+    return got.withColumn("coverage", F.format_string("%.1f%%", 100.0 * F.col("reached_count") / F.col("total_count")))
 
 
 def spans_overlapping(spans: DataFrame, queries: DataFrame, cell: int = 1_000) -> DataFrame:

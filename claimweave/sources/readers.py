@@ -109,7 +109,9 @@ def read_property_graph(spark: SparkSession, path: str, prefix: str = "ex:", con
     n = g.select(F.inline("nodes"))
     e = g.select(F.inline("edges"))
     parts = [
-        n.select(iri(F.col("id")).alias("subject"), F.lit("rdf:type").alias("predicate"), iri(F.explode("labels")).alias("object_iri"), none.alias("object_lit")),
+        n.select("id", F.explode("labels").alias("label")).select(
+            iri(F.col("id")).alias("subject"), F.lit("rdf:type").alias("predicate"), iri(F.col("label")).alias("object_iri"), none.alias("object_lit")
+        ),
         n.select("id", F.explode("props")).select(iri(F.col("id")), iri(F.col("key")), none, literal(F.col("value"))),
         e.select(iri(F.col("id")), F.lit("rdf:type"), iri(F.col("type")), none),
         e.select(iri(F.col("id")), F.lit(prefix + "from"), iri(F.col("from")), none),
