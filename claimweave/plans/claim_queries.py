@@ -448,3 +448,144 @@ def sparql_graph(spark, folder):
     from claimweave.query import run
 
     return run(_store(spark, folder), "PREFIX e: <ex:> SELECT ?s ?g WHERE { GRAPH ?g { ?s e:marriedTo ?o . } }")
+
+
+@query(
+    "SELECT o_orderkey, round(CASE o_orderkey % 3 WHEN 0 THEN o_totalprice / 3600.0 WHEN 1 THEN o_totalprice * 0.001 END, 6) AS converted FROM orders",
+)
+def convert_units(spark, folder):
+    from claimweave.operators import units
+
+    k = F.col("o_orderkey") % 3
+    rows = table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_totalprice").alias("value"), F.when(k == 0, "unit:second").when(k == 1, "unit:gram").otherwise("unit:meter").alias("from_unit"),
+        F.when(k == 0, "unit:hour").when(k == 1, "unit:kilogram").otherwise("unit:second").alias("to_unit"),
+    )
+    return units.convert(rows).select("o_orderkey", F.round("converted", 6).alias("converted"))
+
+
+@query(
+    "SELECT DISTINCT stmt_id, w.text FROM (SELECT stmt_id, json_extract_string(object_lit, '$.v') AS text FROM statements WHERE predicate = 'ex:title') w "
+    "WHERE list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'papers') AND list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'folio')",
+)
+def match_text(spark, folder):
+    from claimweave.operators import text
+
+    rows = table(spark, folder, "statements").where("predicate = 'ex:title'").select("stmt_id", F.get_json_object("object_lit", "$.v").alias("text"))
+    return text.match_text(rows, F.col("text"), "folio papers").select("stmt_id", "text").distinct()
+
+
+@query(
+    "SELECT e.subject, e.label, count(s.subject) AS n FROM (SELECT subject, arg_min(label, (length(label), label)) AS label FROM "
+    "(SELECT DISTINCT subject, json_extract_string(object_lit, '$.v') AS label FROM statements WHERE predicate = 'ex:name') WHERE lower(label) LIKE '%elizabeth%' GROUP BY subject) e "
+    "LEFT JOIN (SELECT DISTINCT stmt_id, subject FROM statements) s USING (subject) GROUP BY ALL",
+)
+def label_search(spark, folder):
+    from claimweave.operators import text
+
+    s_ = table(spark, folder, "statements")
+    rows = s_.select("stmt_id", "subject", F.lit(None).cast("timestamp").alias("tx_hi")).distinct()
+    labels = s_.where("predicate = 'ex:name'").select("subject", F.get_json_object("object_lit", "$.v").alias("label"))
+    return text.label_search(rows, labels, "elizabeth")
+
+
+@query(
+    "SELECT s.predicate, coalesce(CASE WHEN a.lo <= DATE '1930-01-01' AND DATE '1930-01-01' < a.hi THEN a.canonical END, s.predicate) AS canonical, count(*) AS n FROM claims s "
+    "LEFT JOIN (VALUES ('ex:residesIn', 'ex:livesAt', DATE '1900-01-01', DATE '1950-01-01'), ('ex:ownedBy', 'ex:heldBy', DATE '1950-01-01', DATE '1960-01-01')) a(predicate, canonical, lo, hi) USING (predicate) GROUP BY ALL", C,
+)
+def canonical_at(spark, folder):
+    import datetime as dt
+
+    al = spark.createDataFrame(
+        [("ex:residesIn", "ex:livesAt", dt.date(1900, 1, 1), dt.date(1950, 1, 1)), ("ex:ownedBy", "ex:heldBy", dt.date(1950, 1, 1), dt.date(1960, 1, 1))],
+        "alias string, canonical string, valid_lo date, valid_hi date",
+    )
+    rows = fx.claims(spark, folder).select("predicate", F.lit("1930-01-01").cast("date").alias("day"))
+    return align.canonical_at(rows, al, fx.predicates(spark, folder)).groupBy("predicate", "canonical").agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT statement_id, coalesce('ex:place/0', '') AS fixed, CASE WHEN ascii(statement_id) % 2 = 0 THEN (ascii(statement_id) / 200.0 + maturity / 5.0) / 2 ELSE ascii(statement_id) / 200.0 END AS value FROM claims", C,
+)
+def confidence_lens(spark, folder):
+    k = F.ascii("statement_id")
+    lanes = fx.claims(spark, folder).select(
+        "statement_id", (k / 200.0).alias("confidence"), F.when(k % 2 == 0, F.col("maturity") / 5.0).alias("calibrated"),
+        F.lit(None).cast("double").alias("human"), F.lit(None).cast("double").alias("reliability"),
+    )
+    return evidence.confidence_lens(lanes, "multi").select("statement_id", F.lit("ex:place/0").alias("fixed"), "value")
+
+
+@query(
+    "SELECT context, stage, count(*) FILTER (reached) AS reached_count, count(*) AS total_count FROM (SELECT context, 'derived' AS stage, statement_id IN (SELECT source FROM args) AS reached FROM claims "
+    "UNION ALL SELECT context, 'unattacked', statement_id NOT IN (SELECT target FROM args WHERE relation IN ('rebuts', 'undercuts')) FROM claims) GROUP BY ALL", C, G,
+)
+def lifecycle_stages(spark, folder):
+    args = fx.arguments(spark, folder)
+    derived = args.select(F.col("source").alias("statement_id"))
+    attacked = args.where(F.col("relation").isin(evidence.ATTACKS)).select(F.col("target").alias("statement_id"))
+    return evidence.lifecycle_stages(fx.claims(spark, folder), {"derived": derived}, {"unattacked": attacked}).drop("coverage")
+
+
+@query(
+    "SELECT DISTINCT 'claim:frame/' || sha256(concat_ws(chr(31), subject, predicate, object_iri, context)) AS subject, r.p AS predicate, r.o AS object_iri, context FROM claims, "
+    "LATERAL (SELECT unnest([{'p': 'rdf:type', 'o': 'ex:Event'}, {'p': predicate || '/subject', 'o': subject}, {'p': predicate || '/object', 'o': object_iri}]) AS r) WHERE object_iri IS NOT NULL", C,
+)
+def decompose_to_frame(spark, folder):
+    return align.decompose_to_frame(fx.claims(spark, folder), "ex:Event")
+
+
+@query(
+    "SELECT statement_id, predicate AS canonical_predicate, coalesce(a.canonical, subject) AS canonical_subject FROM claims LEFT JOIN "
+    "(SELECT DISTINCT subject, 'ex:merged/' || right(subject, 2) AS canonical FROM claims WHERE subject LIKE 'ex:person/%') a USING (subject) WHERE tx_hi IS NULL", C,
+)
+def canonical_shadows(spark, folder):
+    rows = fx.claims(spark, folder)
+    people = rows.where("subject like 'ex:person/%'").select("subject").distinct()
+    aliases = people.select(F.col("subject").alias("alias"), F.concat(F.lit("ex:merged/"), F.expr("right(subject, 2)")).alias("canonical"), F.lit(0.9).alias("confidence"))
+    closure = align.closure(fx.predicates(spark, folder), fx.alignments(spark, folder).limit(0))
+    return align.shadows(rows, closure, aliases).select("statement_id", "canonical_predicate", "canonical_subject")
+
+
+@query(
+    "SELECT p_brand AS class, 'ex:type/' || p_type AS ancestor FROM (SELECT p_brand, max(p_type) AS p_type FROM part GROUP BY 1) UNION ALL SELECT p_brand, 'ex:root' FROM (SELECT DISTINCT p_brand FROM part)",
+)
+def class_ancestors(spark, folder):
+    brands = table(spark, folder, "part").groupBy("p_brand").agg(F.concat(F.lit("ex:type/"), F.max("p_type")).alias("t"))
+    e = brands.select(F.col("p_brand").alias("src"), F.col("t").alias("dst")).unionByName(brands.select(F.col("t").alias("src"), F.lit("ex:root").alias("dst")))
+    got = fixpoint.reach(e, brands.select(F.col("p_brand").alias("node")), 16, include_seeds=False)
+    return got.select(F.col("seed").alias("class"), F.col("node").alias("ancestor"))
+
+
+@query("SELECT id, lang, CASE lower(coalesce(lang, '')) WHEN '' THEN 'english' WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' WHEN 'es' THEN 'spanish' ELSE 'simple' END AS config FROM sources")
+def text_config(spark, folder):
+    return table(spark, folder, "sources").select("id", "lang", s.text_config(F.col("lang")).alias("config"))
+
+
+@query(
+    "SELECT predicate, string_agg(DISTINCT subject, ',' ORDER BY subject) AS subjects, count(DISTINCT subject) = 2 AS shared FROM claims WHERE tx_hi IS NULL AND subject IN (SELECT min(subject) FROM claims UNION SELECT max(subject) FROM claims) GROUP BY 1", C,
+)
+def compare_subjects(spark, folder):
+    rows = fx.claims(spark, folder)
+    ends = rows.agg(F.min("subject").alias("a"), F.max("subject").alias("b")).first()
+    return browse.compare(rows, [ends["a"], ends["b"]])
+
+
+@query(
+    "SELECT statement_id, context, 'primary' AS role FROM claims UNION ALL SELECT s.statement_id, c.context_iri, 'derived' FROM claims s JOIN sources c ON c.context_iri = 'ctx:src/s0' || (ascii(s.statement_id) % 10)", C,
+)
+def statement_contexts(spark, folder):
+    rows = fx.claims(spark, folder)
+    extra = rows.select("statement_id", F.concat(F.lit("ctx:src/s0"), (F.ascii("statement_id") % 10).cast("string")).alias("context"), F.lit("derived").alias("role"))
+    known = table(spark, folder, "sources").select(F.col("context_iri").alias("context"))
+    return scope.statement_contexts(rows, extra.join(known, "context", "left_semi"))
+
+
+@query(
+    "SELECT statement_id, sha256(concat_ws(chr(31), coalesce(subject, ''), coalesce(predicate, ''), coalesce(object_iri, ''), coalesce(object_lit, ''), coalesce(context, ''), "
+    "coalesce(polarity, ''), coalesce(CAST(valid_lo AS VARCHAR), ''), coalesce(CAST(valid_hi AS VARCHAR), ''))) AS sha256 FROM claims WHERE tx_hi IS NULL AND context IN ('ctx:src/s01', 'ctx:src/s02')", C,
+)
+def release_rows(spark, folder):
+    from claimweave.sources.release import release_rows as rows_of
+
+    return rows_of(fx.claims(spark, folder), ["ctx:src/s01", "ctx:src/s02"]).select("statement_id", "sha256")
