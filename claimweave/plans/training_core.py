@@ -140,4 +140,29 @@ SQL = {
         "o AS (SELECT *, max(hi) OVER (PARTITION BY subject, predicate, axis ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM i WHERE lo < hi AND subject IS NOT NULL AND predicate IS NOT NULL) "
         "SELECT subject, predicate, axis, CAST(e AS BIGINT) AS gap_lo, CAST(lo AS BIGINT) AS gap_hi FROM o WHERE lo > e"
     ),
+    "p4_found": (
+        "WITH RECURSIVE c AS (SELECT iri, arg_min(coalesce(nullif(trim(coalesce(parent, '')), ''), ''), req_id) AS parent FROM contexts WHERE iri IS NOT NULL GROUP BY iri), "
+        "n AS (SELECT c.iri, p.iri AS parent FROM c LEFT JOIN c p ON c.parent = p.iri), "
+        "t AS (SELECT iri, iri AS root, 0 AS depth FROM n WHERE parent IS NULL UNION ALL SELECT n.iri, t.root, t.depth + 1 FROM t JOIN n ON n.parent = t.iri), "
+        "l AS (SELECT * FROM n WHERE iri NOT IN (SELECT iri FROM t)), "
+        "r AS (SELECT iri AS start, parent AS node FROM l UNION SELECT r.start, l.parent FROM r JOIN l ON l.iri = r.node) "
+        "SELECT iri, root, depth FROM t UNION ALL SELECT start, min(node), -1 FROM r WHERE node IN (SELECT start FROM r WHERE start = node) GROUP BY start"
+    ),
+    "p4_paths": (
+        "WITH RECURSIVE c AS (SELECT iri, arg_min(coalesce(nullif(trim(coalesce(parent, '')), ''), ''), req_id) AS parent FROM contexts WHERE iri IS NOT NULL GROUP BY iri), "
+        "n AS (SELECT c.iri, p.iri AS parent FROM c LEFT JOIN c p ON c.parent = p.iri), "
+        "t AS (SELECT iri, iri AS path, [iri] AS nodes FROM n WHERE parent IS NULL UNION ALL SELECT n.iri, t.path || ' > ' || n.iri, list_append(t.nodes, n.iri) FROM t JOIN n ON n.parent = t.iri), "
+        "d AS (SELECT a AS iri, count(*) - 1 AS k FROM (SELECT unnest(nodes) AS a FROM t) GROUP BY a) SELECT t.iri, t.path, d.k AS n_descendants FROM t JOIN d USING (iri)"
+    ),
+    "p2_found": (
+        "WITH v AS (SELECT subject, predicate, value_type, object_iri, regexp_replace(json_extract_string(object_lit, '$.v'), '^\\s+|\\s+$', '', 'g') AS v FROM statements JOIN "
+        "(SELECT DISTINCT * FROM predicate_types) USING (predicate) WHERE polarity = 'asserted' AND NOT many_values AND value_type IN ('integer', 'double', 'boolean', 'iri') AND subject IS NOT NULL), "
+        "k AS (SELECT subject, predicate, CASE value_type "
+        "WHEN 'integer' THEN CASE WHEN regexp_full_match(v, '[+-]?(\\d+|\\d{1,3}(,\\d{3})+)(\\.\\d*)?([eE][+-]?\\d{1,3})?') AND try_cast(replace(v, ',', '') AS DOUBLE) = floor(try_cast(replace(v, ',', '') AS DOUBLE)) "
+        "THEN CAST(try_cast(replace(v, ',', '') AS DOUBLE) AS VARCHAR) END "
+        "WHEN 'double' THEN CASE WHEN regexp_full_match(v, '[+-]?(\\d+([.,]\\d*)?|[.,]\\d+)([eE][+-]?\\d{1,3})?') THEN CAST(try_cast(replace(v, ',', '.') AS DOUBLE) AS VARCHAR) END "
+        "WHEN 'boolean' THEN CASE WHEN lower(v) IN ('true', 'yes', 'y', '1') THEN 't' WHEN lower(v) IN ('false', 'no', 'n', '0') THEN 'f' END "
+        "ELSE (SELECT CASE WHEN regexp_full_match(i, '[A-Za-z][A-Za-z0-9+.-]*:\\S+') THEN i END FROM (SELECT replace(regexp_replace(trim(coalesce(object_iri, v)), '^<|>$', '', 'g'), 'http://example.org/', 'ex:') AS i)) END AS key FROM v) "
+        "SELECT subject, predicate FROM k GROUP BY 1, 2 HAVING count(key) = 0 OR count(DISTINCT key) > 1"
+    ),
 }
