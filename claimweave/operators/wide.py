@@ -10,7 +10,9 @@ a cell are reduced to counts and the smallest and largest typed value before shu
 
 Defined cases: a cell without rows is null and no failure; a cell whose rows have no
 value that fits, or fitting values that differ, is null and listed by
-``unfilled_cells``; repeated rows change nothing; null subjects or predicates, and
+``unfilled_cells``; a many-valued cell is the sorted array of its distinct typed values,
+empty without any, and null only if it has more than ``MOST_VALUES``: exactly those cells
+are in ``overflow_values``, all values, one per row; repeated rows change nothing; null subjects or predicates, and
 predicates missing from the register, are left out; empty input gives no rows.
 """
 
@@ -19,8 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.plans.runtime import Scratch
+
 # Declared value types and the column types they become.
 COLUMN_TYPES = {"integer": "bigint", "double": "double", "boolean": "boolean", "iri": "string", "string": "string", "instant": "string"}
+# A many-valued cell with more distinct values goes to the overflow table, so that no row grows with the input.
+MOST_VALUES = 1_000
 _GROUPED = r"^[+-]?(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d*)?(?:[eE][+-]?\d{1,3})?$"
 _BARE = r"^[+-]?\.\d+(?:[eE][+-]?\d{1,3})?$"
 _DECIMAL = r"^[+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d{1,3})?$"
@@ -98,23 +104,27 @@ def grid(cell_rows: DataFrame, width: int) -> DataFrame:
     return have.select("subject", F.sort_array(F.concat("have", absent)).alias("cells"))
 
 
-def pivot_typed(statements: DataFrame, attributes: list[tuple[str, str, bool]]) -> DataFrame:
-    """One row per subject, one column of the declared type per single-valued attribute.
+def pivot_typed(statements: DataFrame, attributes: list[tuple[str, str, bool]], lists: bool = False, most: int = MOST_VALUES) -> DataFrame:
+    """One row per subject, one column of the declared type per attribute.
 
     Column names are the predicates with everything but letters and digits as ``_``,
-    numbered where that makes two of them equal. Many-valued attributes become the
-    number of their distinct values (their values: ``many_values_long``).
+    numbered where that makes two of them equal. Many-valued attributes become arrays of
+    the declared type with ``lists`` (cells of more than ``most`` values: null, see
+    ``overflow_values``), else the number of their distinct values.
     """
     wide = grid(cells(statements, attributes), len(attributes))
-    many = [i for i, a in enumerate(attributes) if a[2]]
-    counts = None
+    many = [a for a in attributes if a[2]]
     if many:
-        counts = (
-            many_values_long(statements, [attributes[i] for i in many])
-            .groupBy("subject", "predicate").agg(F.count("*").alias("k"))
-            .groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("predicate", "k"))).alias("counts"))
-        )
-        wide = wide.join(counts, "subject", "left")
+        values = many_values_long(statements, many)
+        if lists:
+            values = Scratch(statements.sparkSession, "wide").keep(values)
+            huge = _huge_cells(values, most)
+            small = values.join(huge, ["subject", "predicate"], "left_anti").groupBy("subject", "predicate").agg(F.collect_list("value").alias("k"))
+            held = small.unionByName(huge.withColumn("k", F.lit(None).cast("array<string>")))
+        else:
+            held = values.groupBy("subject", "predicate").agg(F.count("*").alias("k"))
+        held = held.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("predicate", "k"))).alias("held"))
+        wide = wide.join(held, "subject", "left")
     out, used = [F.col("subject")], {"subject"}
     for i, (predicate, kind, is_many) in enumerate(attributes):
         name = base = "".join(c if c.isalnum() else "_" for c in predicate)
@@ -123,14 +133,33 @@ def pivot_typed(statements: DataFrame, attributes: list[tuple[str, str, bool]])
             k += 1
             name = f"{base}_{k}"
         used.add(name.lower())
-        cell = F.get("cells", F.lit(i))
-        if is_many:
-            out.append(F.coalesce(F.try_element_at("counts", F.lit(predicate)), F.lit(0).cast("long")).alias(name))
+        cell, target = F.get("cells", F.lit(i)), COLUMN_TYPES.get(kind, "string")
+        if is_many and lists:
+            got = F.try_element_at("held", F.lit(predicate))
+            typed = got if target == "string" else F.transform(got, _try_cast(target))
+            there = F.coalesce(F.map_contains_key("held", F.lit(predicate)), F.lit(False))
+            out.append(F.when(there, F.sort_array(typed)).otherwise(F.array().cast(f"array<{target}>")).alias(name))
+        elif is_many:
+            out.append(F.coalesce(F.try_element_at("held", F.lit(predicate)), F.lit(0).cast("long")).alias(name))
         else:
-            out.append(F.when(cell["lo"] == cell["hi"], cell["lo"].try_cast(COLUMN_TYPES.get(kind, "string"))).alias(name))
+            out.append(F.when(cell["lo"] == cell["hi"], cell["lo"].try_cast(target)).alias(name))
     return wide.select(*out)
 
 
+def _try_cast(target: str):
+    return lambda x: x.try_cast(target)
+
+
+def _huge_cells(values: DataFrame, most: int) -> DataFrame:
+    return values.groupBy("subject", "predicate").agg(F.count("*").alias("n")).where(F.col("n") > most).select("subject", "predicate")
+
+
+def overflow_values(statements: DataFrame, attributes: list[tuple[str, str, bool]], most: int = MOST_VALUES) -> DataFrame:
+    """``subject, predicate, value`` (canonical text) of all many-valued cells with more than ``most`` distinct values."""
+    values = Scratch(statements.sparkSession, "wide").keep(many_values_long(statements, [a for a in attributes if a[2]]))
+    return values.join(_huge_cells(values, most), ["subject", "predicate"], "left_semi")
+
+
 def many_values_long(statements: DataFrame, attributes: list[tuple[str, str, bool]]) -> DataFrame:
     """Distinct ``subject, predicate, value`` of the given attributes, typed as canonical text."""
     register = statements.sparkSession.createDataFrame([(p, t) for p, t, _ in attributes], "predicate string, kind string")

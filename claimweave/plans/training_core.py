@@ -62,8 +62,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_wide(spark: SparkSession, folder: str) -> DataFrame:
-    """The wide table itself, over all predicates of the register."""
-    return wide.pivot_typed(table(spark, folder, "statements"), wide.attribute_list(table(spark, folder, "predicate_types")))
+    """The wide table itself, over all predicates of the register; many-valued ones are arrays of the declared type."""
+    return wide.pivot_typed(table(spark, folder, "statements"), wide.attribute_list(table(spark, folder, "predicate_types")), lists=True)
+
+
+def p2_overflow(spark: SparkSession, folder: str) -> DataFrame:
+    """All values of the many-valued cells that are null in the wide table because they hold too many for one row."""
+    return wide.overflow_values(table(spark, folder, "statements"), wide.attribute_list(table(spark, folder, "predicate_types")))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
