@@ -9,7 +9,7 @@ from claimweave.operators.fixpoint import reach
 
 
 def resolve_scope(
-    contexts: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, descendants: bool = True,
+    contexts: DataFrame, include: list[str] | DataFrame | None = None, exclude: list[str] | None = None, descendants: bool = True,
     ancestors: bool = False, kinds: list[str] | None = None, exclude_kinds: list[str] | None = None,
 ) -> DataFrame:
     """``context`` of every context in scope. ``contexts``: iri, kind, parent.
@@ -20,8 +20,11 @@ def resolve_scope(
     """
     nodes = contexts.select(F.col("iri").alias("node"), "kind").distinct()
 
-    def closed(seeds: list[str]) -> DataFrame:
-        frame = nodes.where(F.col("node").isin(seeds)).select("node")
+    def closed(seeds: list[str] | DataFrame) -> DataFrame:
+        if isinstance(seeds, DataFrame):
+            frame = nodes.join(seeds.select("node").distinct(), "node", "left_semi").select("node")
+        else:
+            frame = nodes.where(F.col("node").isin(seeds)).select("node")
         out = frame
         if descendants:
             out = out.unionByName(reach(contexts.select(F.col("parent").alias("src"), F.col("iri").alias("dst")), frame).select("node"))
@@ -29,7 +32,7 @@ def resolve_scope(
             out = out.unionByName(reach(contexts.select(F.col("iri").alias("src"), F.col("parent").alias("dst")), frame).select("node"))
         return out.distinct()
 
-    got = nodes if not include else nodes.join(closed(include), "node", "left_semi")
+    got = nodes if not isinstance(include, DataFrame) and not include else nodes.join(closed(include), "node", "left_semi")
     if exclude:
         got = got.join(closed(exclude), "node", "left_anti")
     if kinds:

@@ -90,8 +90,8 @@ def _base(store: Store, q: Query) -> DataFrame:
     if q.scope:
         s = dict(q.scope)
         if s.pop("with_descendants_of_kind", False):
-            seeds = [r["iri"] for r in store.contexts.where(F.col("kind").isin(s["kinds"])).select("iri").distinct().limit(10_000).collect()]
-            scope = resolve_scope(store.contexts, include=seeds) if seeds else None
+            seeds = store.contexts.where(F.col("kind").isin(s["kinds"])).select(F.col("iri").alias("node"))
+            scope = resolve_scope(store.contexts, include=seeds)
         else:
             scope = resolve_scope(store.contexts, **s)
     rows = cl.match(store.claims, scope=scope, polarity=q.polarity, min_maturity=q.min_maturity, as_of_tx=q.as_of)

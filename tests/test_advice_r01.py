@@ -1,8 +1,11 @@
 """Tests of what the first advice found missing."""
 
+from pyspark.sql import functions as F
+
 from claimweave.operators import wide
 from claimweave.plans import training_core as t
 from claimweave.plans.runtime import table
+from claimweave.query.plan import Store, run
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,3 +34,19 @@ def test_p2_wide_and_overflow_hold_every_value(spark):
     values |= {tuple(r) for r in t.p2_overflow(spark, DATA).select("subject", "predicate", "value").collect()}
     want = wide.many_values_long(table(spark, DATA, "statements"), [attributes[i] for i in many])
     assert values == {tuple(r) for r in want.select("subject", "predicate", "value").collect()} and values
+
+
+def test_under_hypothesis_sees_every_seed(spark):
+    n = 10_050
+    contexts = spark.range(n).select(F.concat(F.lit("h"), "id").alias("iri"), F.lit("hypothesis").alias("kind"), F.lit(None).cast("string").alias("parent"))
+    more = spark.createDataFrame([("below", "source", "h7"), ("aside", "source", None)], "iri string, kind string, parent string")
+    contexts = contexts.unionByName(more)
+    claims = contexts.select(
+        F.col("iri").alias("statement_id"), F.col("iri").alias("subject"), F.lit("ex:p").alias("predicate"), F.lit("ex:o").alias("object_iri"),
+        F.lit(None).cast("string").alias("object_lit"), F.col("iri").alias("context"), F.lit("asserted").alias("polarity"), F.lit(1).alias("maturity"),
+        *[F.lit(None).cast(kind).alias(c) for c, kind in (("valid_lo", "date"), ("valid_hi", "date"), ("tx_lo", "timestamp"), ("tx_hi", "timestamp"))],
+    )
+    text = "PRESET under_hypothesis MATCH ?x ex:p ?o PROJECT ?x"
+    got = {r["x"] for r in run(Store(claims, contexts=contexts), text).collect()}
+    assert len(got) == n + 1 and "below" in got and "aside" not in got
+    assert run(Store(claims, contexts=more), text).count() == 0  # no hypothesis: nothing, not everything
