@@ -127,6 +127,11 @@ def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
     return paths.join(sizes, "node").select(F.col("node").alias("iri"), "path", "n_descendants")
 
 
+def p4_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every context outside loops with each of its descendants."""
+    return build_hierarchy(table(spark, folder, "contexts"), "iri", "parent", "req_id").descendants()
+
+
 SQL = {
     "p6_found": (
         "SELECT DISTINCT 'predicate' AS listing, batch_id, predicate AS item FROM "
@@ -159,6 +164,12 @@ SQL = {
         "t AS (SELECT iri, iri AS path, [iri] AS nodes FROM n WHERE parent IS NULL UNION ALL SELECT n.iri, t.path || ' > ' || n.iri, list_append(t.nodes, n.iri) FROM t JOIN n ON n.parent = t.iri), "
         "d AS (SELECT a AS iri, count(*) - 1 AS k FROM (SELECT unnest(nodes) AS a FROM t) GROUP BY a) SELECT t.iri, t.path, d.k AS n_descendants FROM t JOIN d USING (iri)"
     ),
+    "p4_descendants": (
+        "WITH RECURSIVE c AS (SELECT iri, arg_min(coalesce(nullif(trim(coalesce(parent, '')), ''), ''), req_id) AS parent FROM contexts WHERE iri IS NOT NULL GROUP BY iri), "
+        "n AS (SELECT c.iri, p.iri AS parent FROM c LEFT JOIN c p ON c.parent = p.iri), "
+        "t AS (SELECT iri, [iri] AS nodes FROM n WHERE parent IS NULL UNION ALL SELECT n.iri, list_append(t.nodes, n.iri) FROM t JOIN n ON n.parent = t.iri) "
+        "SELECT ancestor, node FROM (SELECT unnest(nodes) AS ancestor, iri AS node FROM t) WHERE ancestor <> node"
+    ),
     "p2_found": (
         "WITH v AS (SELECT subject, predicate, value_type, object_iri, regexp_replace(json_extract_string(object_lit, '$.v'), '^\\s+|\\s+$', '', 'g') AS v FROM statements JOIN "
         "(SELECT DISTINCT * FROM predicate_types) USING (predicate) WHERE polarity = 'asserted' AND NOT many_values AND value_type IN ('integer', 'double', 'boolean', 'iri') AND subject IS NOT NULL), "

@@ -50,3 +50,10 @@ def test_under_hypothesis_sees_every_seed(spark):
     got = {r["x"] for r in run(Store(claims, contexts=contexts), text).collect()}
     assert len(got) == n + 1 and "below" in got and "aside" not in got
     assert run(Store(claims, contexts=more), text).count() == 0  # no hypothesis: nothing, not everything
+
+
+def test_p4_descendants_lists_every_pair(spark, tmp_path):
+    rows = [("a", None, 1), ("b", "a", 2), ("c", " b ", 3), ("d", "a", 4), ("x", "y", 5), ("y", "x", 6), ("z", "x", 7), ("b", "d", 9)]
+    spark.createDataFrame(rows, "iri string, parent string, req_id long").write.parquet(f"{tmp_path}/contexts.parquet")
+    got = sorted((r["ancestor"], r["node"]) for r in t.p4_descendants(spark, str(tmp_path)).collect())
+    assert got == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c")]
