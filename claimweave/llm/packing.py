@@ -2,12 +2,12 @@
 
 Method: configuration linear program over the histogram of lengths. A configuration is
 a multiset of lengths that fits one container; the program asks for the fewest
-containers that cover the histogram. It is solved by multiplicative weights: lengths
-covered less so far weigh more, and the configuration of greatest weight comes from a
-knapsack dynamic program over the capacity. Fractions are rounded down; what they leave,
-a few items per configuration used, goes by best fit, longest
-first. The histogram has at most one entry per length up to the
-capacity, so this part is as large for any corpus.
+containers that cover the histogram. Its dual prices come from multiplicative weights:
+lengths covered less so far weigh more, and the configuration of greatest weight comes
+from a knapsack dynamic program over the capacity. Rounding goes on with the same
+pricing, but uses configurations whole times until about four containers' worth of items
+is left, at every size of input; only those go by best fit. The histogram has at most one
+entry per length up to the capacity, so this part is nearly as large for any corpus.
 
 Texts meet their containers without moving: the items of one length are numbered (range
 partitioning, so a length that most texts share is spread out), and the numbers of a
@@ -17,9 +17,11 @@ length are dealt to the configurations by a small broadcast table.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +36,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 def _count(vocabulary: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
@@ -49,103 +52,146 @@ def _count(vocabulary: str, pattern: str):
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``doc_id, version, n_tokens`` of every row; ``version`` is a hash of the text. Null texts count 0."""
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
-    return rows.mapInArrow(_count(vocabulary, pattern), "doc_id long, version long, n_tokens long")
+    docs.sparkSession.sparkContext.addFile(vocabulary)  # executors needn't have it
+    return rows.mapInArrow(_count(os.path.basename(vocabulary), pattern), "doc_id long, version long, n_tokens long")
 
 
-def best_configuration(sizes: np.ndarray, weight: np.ndarray, limit: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts per size of the heaviest multiset that fits (unbounded knapsack), cut to the items there are and filled up again."""
-    value = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
+def price(sizes: np.ndarray, weight: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack over the capacity: greatest weight of a multiset of at most c tokens, and the index of one of its items (-1: none)."""
+    value, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    ends = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        k = np.searchsorted(sizes, c, side="right")
-        value[c] = value[c - 1]
+        v, k = value[c - 1], ends[c]
         if k:
             got = weight[:k] + value[c - sizes[:k]]
             j = int(got.argmax())
-            if got[j] > value[c]:
-                value[c], choice[c] = got[j], j
-    out = np.zeros(len(sizes), np.int64)
-    c = capacity
+            if got[j] > v:
+                v, last[c] = got[j], j
+        value[c] = v
+    return value, last
+
+
+def configuration(last: np.ndarray, sizes: np.ndarray, j: int, capacity: int) -> dict[int, int]:
+    """The heaviest configuration that holds item ``j``, read off the knapsack table: {index: copies}."""
+    out, c = {j: 1}, capacity - int(sizes[j])
     while c > 0:
-        j = choice[c]
-        if j < 0:
+        k = int(last[c])
+        if k < 0:
             c -= 1
         else:
-            out[j] += 1
-            c -= int(sizes[j])
-    out = np.minimum(out, limit)
-    room = capacity - int((out * sizes).sum())
-    for j in np.argsort(-weight / sizes, kind="stable"):  # what the cut left empty, dearest per token first
-        if room < sizes[0]:
-            break
-        more = min(int(limit[j] - out[j]), room // int(sizes[j]))
-        if more > 0:
-            out[j] += more
-            room -= more * int(sizes[j])
+            out[k] = out.get(k, 0) + 1
+            c -= int(sizes[k])
     return out
 
 
-def solve_histogram(
-    sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 120, left_over: int = 300_000
-) -> list[tuple[int, dict[int, int]]]:
-    """Containers to fill: (how many, {size: items each}), covering every count exactly.
+def bounded_configuration(sizes: np.ndarray, weight: np.ndarray, limit: np.ndarray, capacity: int) -> dict[int, int]:
+    """The heaviest configuration with at most ``limit`` copies of each item (knapsack over binary parts)."""
+    parts = []
+    for j, size in enumerate(sizes.tolist()):
+        left, k = min(int(limit[j]), capacity // size), 1
+        while left > 0:
+            parts.append((j, min(k, left)))
+            left, k = left - k, 2 * k
+    value, took = np.zeros(capacity + 1), np.zeros((len(parts), capacity + 1), bool)
+    for i, (j, k) in enumerate(parts):
+        room = k * int(sizes[j])
+        if room <= capacity:
+            other = value[: capacity + 1 - room] + k * weight[j]
+            better = other > value[room:]
+            took[i, room:] = better
+            value[room:][better] = other[better]
+    out, c = {}, capacity
+    for i in range(len(parts) - 1, -1, -1):
+        if took[i, c]:
+            j, k = parts[i]
+            out[j] = out.get(j, 0) + k
+            c -= k * int(sizes[j])
+    return out
+
+
+def learn_prices(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 200, slack: float = 0.02, batch: int = 32, eta: float = 1.0) -> tuple[np.ndarray, float]:
+    """Dual prices per size by multiplicative weights, and the lower bound on containers they prove.
+
+    A size weighs its volume times exp(-eta * how much of it is covered so far). Each
+    round prices by knapsack, takes the configurations of the least covered sizes that are
+    within ``slack`` of the best, and averages the weights; the best of both counts. Any weights divided by their
+    best configuration are a feasible dual solution, so each gives a bound.
+    """
+    cover, average = np.zeros(len(sizes)), np.zeros(len(sizes))
+    best, bound = sizes / capacity, float((sizes * counts).sum()) / capacity
+    for r in range(rounds):
+        weight = sizes * np.exp(-eta * (cover - cover.min()))
+        weight = weight / weight.max()
+        value, last = price(sizes, weight, capacity)
+        average += weight / value[capacity]
+        tried = [(weight, value[capacity])]
+        if r % 20 == 19:
+            tried.append((average, price(sizes, average, capacity)[0][capacity]))
+        for prices, top in tried:
+            if (prices * counts).sum() / top > bound:
+                bound, best = float((prices * counts).sum() / top), prices / top
+        good = np.flatnonzero(weight + value[capacity - sizes] >= (1 - slack) * value[capacity])
+        for j in good[np.argsort(cover[good], kind="stable")][:batch].tolist():
+            ix, n = (np.array(x) for x in zip(*configuration(last, sizes, j, capacity).items()))
+            cover[ix] += float((counts[ix] / n).min()) / 8 * n / counts[ix]
+    return best, bound
+
+
+def round_program(
+    sizes: np.ndarray, counts: np.ndarray, capacity: int, prices: np.ndarray, eta: float = 1.0, slack: float = 0.01,
+    steps: int = 8, batch: int = 64, residue: int = 4,
+) -> tuple[dict[tuple[tuple[int, int], ...], int], np.ndarray]:
+    """Whole containers per configuration, and the few items left over (``residue`` containers' worth at most).
 
-    The program is solved and rounded down again for what is left until at most
-    ``left_over`` items remain, which best fit places one by one. So the work is bounded
-    by sizes and rounds, and only grows with the logarithm of the counts.
+    Rounding keeps the program running: prices times exp(eta * share of a size still
+    there) are priced by knapsack, and the configurations of the sizes that lag most are
+    used whole times, an eighth of what is left of their scarcest size at once, and at
+    least once. Prices are tilted a little towards long items, which are harder to place.
+    So the work follows the number of sizes and the logarithm of the counts.
     """
+    left, made = counts.copy(), {}
+    while (left * sizes).sum() > residue * capacity:
+        live = np.flatnonzero(left > 0)
+        s, r = sizes[live], left[live]
+        share = r / counts[live]
+        weight = (prices[live] * (1 + s / (10 * capacity)) + s / (1000 * capacity)) * np.exp(eta * (share - share.max()))
+        value, last = price(s, weight, capacity)
+        order = np.lexsort((-s, -share))
+        order = order[(weight + value[capacity - s])[order] >= (1 - slack) * value[capacity]][:batch]
+        fitting = (configuration(last, s, j, capacity) for j in order.tolist())
+        used = 0
+        for config in fitting:
+            if all(r[k] >= n for k, n in config.items()):
+                used += _use(made, s, r, config, steps)
+        if not used:
+            _use(made, s, r, bounded_configuration(s, weight, r, capacity), steps)
+        left[live] = r
+    return made, left
+
+
+def _use(made: dict, sizes: np.ndarray, left: np.ndarray, config: dict[int, int], steps: int) -> int:
+    ix, n = (np.array(x) for x in zip(*config.items()))
+    times = max(1, int((left[ix] // n).min()) // steps)
+    left[ix] -= times * n
+    key = tuple(sorted(zip(sizes[ix].tolist(), n.tolist())))
+    made[key] = made.get(key, 0) + times
+    return times
+
+
+def solve_histogram(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 200) -> list[tuple[int, dict[int, int]]]:
+    """Containers to fill: (how many, {size: items each}), covering every count exactly."""
     order = np.argsort(sizes)
-    sizes, remaining = sizes[order].astype(np.int64), counts[order].astype(np.int64)
-    made: dict[tuple[tuple[int, int], ...], int] = {}
-    first = True
-    while first or remaining.sum() > left_over:
-        live = remaining > 0
-        if not live.any():
-            break
-        taken = _round_of_program(sizes[live], remaining[live], capacity, rounds if first else rounds // 3, left_over)
-        first = False
-        used_up = np.zeros(int(live.sum()), np.int64)
-        for n, config in taken:
-            used = config > 0
-            key = tuple(zip(sizes[live][used].tolist(), config[used].tolist()))
-            made[key] = made.get(key, 0) + n
-            used_up += n * config
-        remaining[live] -= used_up
-    for config in best_fit(sizes, remaining, capacity):
-        made[config] = made.get(config, 0) + 1
-    return [(n, dict(config)) for config, n in made.items()]
-
-
-def _round_of_program(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, left_over: int) -> list[tuple[int, np.ndarray]]:
-    """One solution by multiplicative weights, rounded down: (containers, counts per size)."""
-    share = np.zeros(len(sizes))  # part of each size covered so far
-    found: dict[bytes, float] = {}
-    eta = np.log(len(sizes) + 1) * 4
-    for _ in range(rounds):
-        # prices start at volume, which fills containers, and fall with what is covered already
-        config = best_configuration(sizes, sizes * np.exp(-eta * (share - share.min())), counts, capacity)
-        used = config > 0
-        step = float((counts[used] / config[used]).min()) / 16
-        key = config.tobytes()
-        found[key] = found.get(key, 0.0) + step
-        share[used] += step * config[used] / counts[used]
-    remaining, out = counts.copy(), []
-    scale = 1.0 / max(float(share.max()), 1e-12)
-    configs = sorted(((np.frombuffer(k, np.int64), x) for k, x in found.items()), key=lambda t: -int((t[0] * sizes).sum()))
-    for c, x in configs:
-        used = c > 0
-        n = int(min(x * scale, int((remaining[used] // c[used]).min())))
-        if n > 0:
-            out.append((n, c))
-            remaining = remaining - n * c
-    if remaining.sum() > left_over and 4 * remaining.sum() > 3 * counts.sum():  # little survived rounding: use the fullest ones as often as they go
-        for c, _ in configs:
-            used = c > 0
-            n = int((remaining[used] // c[used]).min())
-            if n > 0:
-                out.append((n, c))
-                remaining = remaining - n * c
-    return out
+    sizes, counts = sizes[order].astype(np.int64), counts[order].astype(np.int64)
+    if not len(sizes):
+        return []
+    prices, _ = learn_prices(sizes, counts, capacity, rounds)
+    plans = []
+    for eta in (1.0, 4.0):  # the second is better where items are large, the first where they are small
+        made, left = round_program(sizes, counts, capacity, prices, eta)
+        for config in best_fit(sizes, left, capacity):
+            made[config] = made.get(config, 0) + 1
+        plans.append(made)
+    return [(n, dict(config)) for config, n in min(plans, key=lambda made: sum(made.values())).items()]
 
 
 def best_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, int], ...]]:
@@ -171,7 +217,7 @@ def best_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple
     return [tuple(h.items()) for h in held]
 
 
-def pack(items: DataFrame, capacity: int, rounds: int = 120) -> DataFrame:
+def pack(items: DataFrame, capacity: int, rounds: int = 200) -> DataFrame:
     """``doc_id, version, piece, n_tokens, container`` for rows ``doc_id, version, n_tokens``.
 
     An item larger than the capacity is cut into full pieces, each alone in a container,
@@ -205,12 +251,12 @@ def pack(items: DataFrame, capacity: int, rounds: int = 120) -> DataFrame:
             table.append((s, dealt[s], dealt[s] + n * a, base, a))
             dealt[s] += n * a
         base += n
-    slots = spark.createDataFrame(table, "size long, lo long, hi long, base long, each long") if table else None
+    slots = spark.createDataFrame(pd.DataFrame(table, columns=["size", "lo", "hi", "base", "each"]).astype("int64")) if table else None
     if slots is None:
         return cut.select("doc_id", "version", "piece", F.col("size").alias("n_tokens"), F.lit(None).cast("long").alias("container"))
-    met = numbered.alias("i").join(
-        F.broadcast(slots).alias("s"), F.expr("i.size = s.size and i.ix >= s.lo and i.ix < s.hi"), "left"
-    )  # slots: bounded by rounds and capacity
+    # slots: one row per configuration and size, bounded by sizes, steps and the logarithm of the counts
+    # (125,000 rows for a million texts of 1,252 sizes, 5 MB)
+    met = numbered.alias("i").join(F.broadcast(slots).alias("s"), F.expr("i.size = s.size and i.ix >= s.lo and i.ix < s.hi"), "left")
     return met.select(
         "doc_id", "version", "piece", F.col("i.size").alias("n_tokens"), F.expr("s.base + (i.ix - s.lo) div s.each").alias("container")
     )

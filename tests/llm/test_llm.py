@@ -85,6 +85,28 @@ def test_packing_is_tight_and_whole(spark):
     assert packing.pack(df.where("n_tokens = 0"), 2_048).where("container is not null").count() == 0
 
 
+def test_packing_program_places_nearly_everything():
+    rng = np.random.default_rng(0)
+    documents = np.concatenate([rng.integers(3, 900, 8_000), rng.integers(900, 2_049, 600)])
+    for items, over in ((documents, 1.001), (rng.integers(1, 1_500, 20_000), 1.001), (rng.integers(400, 1_000, 20_000), 1.02), (rng.integers(600, 1_100, 20_000), 1.09)):
+        for times in (1, 50):
+            sizes, counts = np.unique(items, return_counts=True)
+            counts = counts * times
+            prices, bound = packing.learn_prices(sizes, counts, 2_048)
+            made, left = min((packing.round_program(sizes, counts, 2_048, prices, eta) for eta in (1.0, 4.0)), key=lambda x: sum(x[0].values()))
+            assert left.sum() <= 0.01 * counts.sum() and (left * sizes).sum() <= 4 * 2_048
+            used = sum(made.values()) + len(packing.best_fit(sizes, left, 2_048))
+            assert used <= over * bound + 2  # never far from the proven bound
+            if times == 1:
+                assert used <= 1.001 * len(packing.best_fit(sizes, counts, 2_048))
+            held = dict.fromkeys(sizes.tolist(), 0)
+            for config, n in made.items():
+                assert sum(s * k for s, k in config) <= 2_048
+                for s, k in config:
+                    held[s] += n * k
+            assert all(held[s] == c - r for s, c, r in zip(sizes.tolist(), counts.tolist(), left.tolist()))
+
+
 def test_token_counts(spark):
     import base64
 
