@@ -156,6 +156,56 @@ def test_leaks_are_found_in_any_dress(spark):
     assert leaks.find_leaks(df.limit(0), it).count() == 0 and leaks.find_leaks(df, it.limit(0)).count() == 0
 
 
+def test_leaks_in_other_scripts_and_large_test_sets(spark):
+    rng = random.Random(7)
+    pick = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    russian = " ".join(pick("абвгдежзиклмнопрстуфхцчшыьэюя", rng.randrange(3, 9)) for _ in range(40))
+    chinese = pick([chr(c) for c in range(0x4E00, 0x5200)], 60)
+    hindi = " ".join(pick([chr(c) for c in range(0x0915, 0x0939)], rng.randrange(3, 7)) for _ in range(30))
+    short = "zwölf boxkämpfer"
+    items = [(1, russian), (2, chinese), (3, hindi), (4, short), (5, "...")]
+    filler = " ".join(pick("abcdefgh", 5) for _ in range(200))
+    docs = [
+        (1, f"{filler} {' '.join(russian.split()[5:28])} {filler}"), (2, filler + chinese[10:45] + filler), (3, hindi.replace(" ", "\n")),
+        (4, f"{filler} ZWÖLF  BOXKÄMPFER {filler}"), (5, filler), (6, filler + chinese[:20]), (7, " ".join(russian.split()[:12])),
+    ]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(df, it).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+    many = spark.range(6_000).selectExpr("id + 100 as item_id", "concat('item ', id, ' ', sha2(cast(id as string), 512)) as text")
+    got = leaks.find_leaks(df, it.unionByName(many), block=2_500)  # several blocks, nothing refused
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
+def test_leaks_recall_on_altered_passages(spark):
+    rng = random.Random(9)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/eval_items.parquet").where("text is not null").collect()]
+    filler = " ".join(r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) between 500 and 3000").limit(40).collect()).split()
+
+    def altered(text, share, rate):
+        w = text.split()
+        n = int(np.ceil(share * len(w)))
+        at = rng.randrange(len(w) - n + 1)
+        kept = " ".join(w[at : at + n])
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() and rng.random() < rate else c for c in kept)
+
+    def spread(text, _, __):
+        w = text.split()
+        a, b = sorted(rng.sample(range(5, len(w) - 5), 2))
+        some = lambda: filler[(k := rng.randrange(len(filler) - 12)) : k + 12]
+        return " ".join(w[:a] + some() + w[a:b] + some() + w[b:])
+
+    for change, share, rate, least in ((altered, 0.52, 0.10, 0.9), (altered, 0.52, 0.15, 0.9), (altered, 1.0, 0.2, 0.85), (spread, 1, 0, 0.9), (altered, 0.44, 0.0, None)):
+        docs = []
+        for i, (_, text) in enumerate(items):
+            at = rng.randrange(len(filler) - 300)
+            docs.append((i, " ".join(filler[at : at + 150]) + " " + change(text, share, rate) + " " + " ".join(filler[at + 150 : at + 300])))
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        it = spark.createDataFrame(items, "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(df, it).collect()}
+        found = sum((i, item) in got for i, (item, _) in enumerate(items)) / len(items)
+        assert found >= least if least is not None else found <= 0.05
+
+
 def test_alignment_scores_equal_plain_dynamic_programming():
     rng = random.Random(8)
     a = "".join(rng.choice("abcd") for _ in range(60))
@@ -163,8 +213,8 @@ def test_alignment_scores_equal_plain_dynamic_programming():
     for _ in range(6):
         b[rng.randrange(len(b))] = rng.choice("abcd")
     stream = ("z" * 20 + "".join(b) + "z" * 20).encode()
-    index = leaks.ItemIndex([(1, a)], 3)
-    lo, hi, match = leaks.align(index, [stream], np.array([0]), np.array([0]), np.array([20]), 10)
+    index = leaks.ItemIndex([(1, leaks.letters(a), np.array([len(a)]), (len(a), 1))], 3, 0.1)
+    lo, hi, match = leaks.align(index, [leaks.letters(stream.decode())], np.array([0]), np.array([0]), np.array([20]), 10)
     best = 0
     row = [0] * (len(stream) + 1)
     for x in a.encode():
