@@ -151,12 +151,17 @@ def read_value(df: DataFrame, value: Column, order: Column, keep: list[str]) ->
             F.when(F.col("_off").startswith("-"), -1).otherwise(1) * (off_h * 60 + off_m).cast("long") * 60_000_000,
         ).alias("_shift"),
     )
+    week = r"^(\d{4})-?[Ww](\d{2})-?([1-7])$"
+    wy, ww, wd = (F.regexp_extract("_v", week, i).cast("int") for i in (1, 2, 3))
+    jan4 = F.make_date(F.when(F.col("_v").rlike(week) & wy.between(1, 9999), wy), F.lit(1), F.lit(4))
+    week_day = F.date_add(F.date_sub(jan4, F.weekday(jan4)), (ww - 1) * 7 + wd - 1)
     qm, qy = F.coalesce(_int(q(2)), F.col("_mon")), F.coalesce(*[_int(q(i)) for i in (1, 4, 5)])
     timed = p(21) != ""
     s5 = s4.select(
         *held, "_v", "_p", "_shift",
         F.when(timed, F.unix_date(F.col("_iso").cast("date")).cast("long") * DAY_US + F.col("_clock")).alias("_wall"),
         F.when(F.col("_iso").isNotNull() & ~timed, F.col("_iso"))
+        .when(F.weekofyear(week_day) == ww, week_day.cast("string"))
         .when(qy.between(1, 9999) & (q(5) != ""), _pad(qy, 4))
         .when(qy.between(1, 9999) & qm.between(1, 12), F.concat(_pad(qy, 4), F.lit("-"), _pad(qm, 2)))
         .alias("_plain"),
@@ -166,6 +171,7 @@ def read_value(df: DataFrame, value: Column, order: Column, keep: list[str]) ->
     return fence(
         s5, keep, F.col("_plain").alias("_plain"),
         F.when(v.rlike(r"^\d{10}$"), v.cast("long") * 1_000_000)
+        .when(v.rlike(r"^\d{10}[.]\d{1,6}$"), F.substring(v, 1, 10).cast("long") * 1_000_000 + F.rpad(F.substring(v, 12, 6), 6, "0").cast("long"))
         .when(v.rlike(r"^\d{13}$"), v.cast("long") * 1_000)
         .when(p(26) != "", wall).when(p(27) != "", wall - F.col("_shift")).alias("_at"),
         F.when(~fixed, wall).alias("_local"),
@@ -175,9 +181,22 @@ def read_value(df: DataFrame, value: Column, order: Column, keep: list[str]) ->
 
 
 def known_zones(spark: SparkSession) -> list[str]:
-    """Region names that the JVM's time-zone database has; a few hundred, whatever the data."""
-    names = spark._jvm.java.time.ZoneId.getAvailableZoneIds()
-    return sorted(z for z in names if "/" in z and not z.startswith(("Etc/", "SystemV/")))
+    """Names that the JVM's time-zone database has; some six hundred, whatever the data."""
+    return sorted(z for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds() if not z.startswith("SystemV/"))
+
+
+def zone_name(zone: Column, zones: list[str]) -> Column:
+    """A declared zone in the form the engine takes: a database name, or a fixed offset as ``+HH:MM``; null if it is neither."""
+    bare = F.trim(zone)
+    offset = r"^(?:UTC|GMT|utc|gmt)?\s*([+-])(\d{1,2}):?(\d{2})?$"
+    part = lambda i: F.regexp_extract(bare, offset, i)
+    hour, minute = part(2).cast("int"), F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0))
+    fixed = F.concat(part(1), _pad(hour, 2), F.lit(":"), _pad(minute, 2))
+    return (
+        F.when(bare.isin(zones), bare)
+        .when(F.upper(bare).isin("UTC", "GMT", "Z", "ZULU"), "UTC")
+        .when(bare.rlike(offset) & (hour * 60 + minute <= 18 * 60) & (minute <= 59), fixed)
+    )
 
 
 def wall_to_utc(df: DataFrame, local: str, zone: str, abbr: str, out: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweave.functions import timetext as tt
 from claimweave.operators.hierarchy import build_hierarchy
 from claimweave.operators.instants import normalise_instants
 from claimweave.operators import heavy, periods, wide
@@ -15,8 +16,8 @@ def instants_all(spark: SparkSession, folder: str) -> DataFrame:
     """Every dated record of both tables with ``norm`` and ``basis``; zones of silent sources are estimated."""
     sources = table(spark, folder, "sources")
     zones = [
-        r[0]  # sources is a fixed register; its zones are a few names
-        for r in sources.where("tz is not null").select("tz").distinct().orderBy("tz").limit(200).collect()
+        r[0]  # as many as the time-zone database has at most, whatever the register's size
+        for r in sources.select(tt.zone_name(F.col("tz"), tt.known_zones(spark)).alias("tz")).where("tz is not null").distinct().orderBy("tz").collect()
     ]
     life = (
         table(spark, folder, "life_events")
