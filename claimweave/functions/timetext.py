@@ -220,3 +220,10 @@ def wall_to_utc(df: DataFrame, local: str, zone: str, abbr: str, out: str) -> Da
         .otherwise(first)
     )
     return fence(s2, keep, placed.alias(out))
+
+
+def earliest_instant(df: DataFrame, local: str, zone: str, out: str) -> DataFrame:
+    """Adds ``out``: the first instant at which a wall clock in the zone shows the reading, null if it never does."""
+    fenced = fence(df, df.columns, F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col(local)), F.col(zone))).alias("_t"))
+    shown = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(F.col("_t")), F.col(zone)))
+    return fence(fenced, df.columns, F.when(shown == F.col(local), F.col("_t")).alias(out))

@@ -94,7 +94,7 @@ def test_hidden_zones_are_found_again(spark):
     rows, truth = [], {}
     for how in ("ingestion", "order"):
         for k, z in enumerate(zones * 2):
-            src, at = f"{how}{k}", datetime(2019, 1, 1, tzinfo=timezone.utc)
+            src, at = f"{how}{k}", datetime(2019, 6, 1, tzinfo=timezone.utc)
             truth[src] = z
             for n in range(400):
                 at += timedelta(minutes=rng.randrange(20, 4_000) if how == "ingestion" else rng.randrange(1, 60))
