@@ -229,22 +229,31 @@ def align(index: ItemIndex, streams: list[np.ndarray], doc: np.ndarray, item: np
 
 
 def _best_end(text: np.ndarray, codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Score and end of the best local alignment of each column, all columns advancing together."""
+    """Score and end of the best local alignment of each column, all columns advancing together.
+
+    Scores are kept with one point added per item letter and per place in the band, so
+    that edits cost nothing or one point and a running maximum needs no correction.
+    """
     longest, n = codes.shape
-    ramp = np.arange(width, dtype=np.int16)[:, None]
-    score = np.zeros((width + 1, n), np.int16)  # the last row stays 0
+    floor = np.repeat(np.arange(width + 1, dtype=np.int16)[:, None], n, 1)
+    score = floor.copy()
     best, end = np.zeros(n, np.int16), np.zeros(n, np.int64)
+    a, b = np.empty((width, n), np.int16), np.empty((width, n), np.int16)
     for i in range(longest):
-        step = (text[i : i + width] == codes[i]).astype(np.int16)
-        step *= 2
-        step -= 1
-        step += score[:-1]
-        np.maximum(step, score[1:] - np.int16(1), out=step)  # a letter of the item left out
-        step += ramp  # letters of the document left out: a running maximum, one point each
-        np.maximum.accumulate(step, 0, out=step)
-        step -= ramp
-        np.maximum(step, 0, out=score[:-1])
-        top = score.max(0)
+        np.multiply(text[i : i + width] == codes[i], np.int16(2), out=a)
+        a += score[:-1]
+        score[-1] = width + i  # nothing comes from outside the band
+        np.maximum(a, score[1:] - np.int16(1), out=a)  # a letter of the item left out
+        k = 1
+        while k < width:  # letters of the document left out: a running maximum, by doubling
+            np.maximum(a[k:], a[:-k], out=b[k:])
+            b[:k] = a[:k]
+            a, b = b, a
+            k *= 2
+        floor += np.int16(1)
+        np.maximum(a, floor[:-1], out=score[:-1])
+        a = np.subtract(score[:-1], floor[:-1], out=a)
+        top = a.max(0)
         better = top > best
         best[better], end[better] = top[better], i + 1
     return best.astype(np.int64), end
