@@ -224,3 +224,14 @@ def test_heavy_counts_are_exact(spark):
     assert got == {k: len(v) for k, v in want.items()}
     assert {r["k"] for r in heavy.heavy_keys(df, "k").collect()} == {"hot"}
     assert heavy.distinct_counts(df.limit(0), "b", "k", "i").count() == 0
+
+
+def test_whole_numbers_are_exact(spark):
+    cases = {
+        "1e-13": None, "1.0000000000001": None, "1.50e1": "15", "123456789012345678901234567890": "123456789012345678901234567890", "-0": "0", "+007": "7",
+        "1,234,567": "1234567", "1,23": None, "12e3": "12000", "0.0": "0", "10e-1": "1", "10e-2": None, "0e-9": "0", ".5e1": "5", "1e400": "1" + "0" * 400, "-120e-1": "-12",
+        "1 000": None, "": None, "0x1f": None, "9223372036854775808": "9223372036854775808", "1.": "1",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    got = {r["v"]: r["k"] for r in df.select("v", wide.typed_key(F.lit("integer"), F.col("v"), F.lit(None).cast("string")).alias("k")).collect()}
+    assert got == cases
