@@ -57,6 +57,47 @@ def test_names_are_linked_and_rematched(spark):
     assert names.link_names(df.limit(0)).count() == 0
 
 
+def test_names_off_every_list_are_linked(spark):
+    rng = random.Random(12)
+    given = dict(zip("Giovanni Katarzyna Hiroshi Oluwaseun Ignatius Svetlana Mehmet Chukwuemeka Aurelio Xiomara".split(), "Gianni Kasia Hiro Seun Iggy Lana Memo Emeka Lelo Xio".split()))
+    part = "ba do ge ku li mo ne pra sti vu wel zo".split()
+    rows, truth = [], {}
+
+    def add(name, who, hint):
+        rows.append((str(len(rows)), name, hint))
+        truth[str(len(rows) - 1)] = who
+
+    for k in range(240):
+        first = rng.choice(sorted(given))
+        last = "".join(rng.choice(part) for _ in range(4)).capitalize() + "rn"
+        spoilt = last[:3] + last[4:]
+        forms = [f"{first} {last}", f"{last} {first}", f"{last}, {first}", f"{given[first]} {last}", f"{first[0]}. {last}", f"{first} {spoilt}", f"Dr {first.upper()}  {last}"]
+        for name in rng.sample(forms, 4):
+            add(name, ("p", first, last), "person")
+    for k in range(60):
+        place = "".join(rng.choice(part) for _ in range(3)).capitalize() + "mund"
+        for name in rng.sample([f"{place} Foundation", f"Foundation of {place}", f"{place} Fdn.", f"The {place} Foundation"], 3):
+            add(name, ("o", place), "org")
+    df = spark.createDataFrame(rows, "key string, name string, hint string")
+    got = {(r["key_a"], r["key_b"]) for r in names.linked_pairs(names.link_names(df)).collect()}
+    keys = sorted(truth)
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if truth[a] == truth[b]}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+    few = [("a", "Hans Müller", "person"), ("b", "Müller Hans", "person"), ("c", "Maria Child", "person"), ("d", "Child, Maria", "person"), ("e", "infant", "person"), ("f", "Smith John", "any"), ("g", "John Smth", "any")]
+    linked = {(r["key_a"], r["key_b"]) for r in names.linked_pairs(names.link_names(spark.createDataFrame(few, "key string, name string, hint string"))).collect()}
+    assert linked == {("a", "b"), ("c", "d"), ("f", "g")}
+
+
+def test_grown_clusters_enter_blocking_again(spark):
+    rows = [("1", "Robert Kelmanostu"), ("2", "Bob Kelmanostu"), ("3", "Robert Kelmanotstu"), ("4", "B. Kelmanotstus"), ("5", "Z. Kelmanotstus")]
+    df = spark.createDataFrame([(k, n, "person") for k, n in rows], "key string, name string, hint string")
+    got = {}
+    for r in names.link_names(df).collect():
+        got.setdefault(r["cluster"], set()).add(r["key"])
+    # 4 shares no block with any single record: only the cluster knows that Robert is also B.
+    assert {"1", "2", "3", "4"} in got.values() and {"5"} in got.values()
+
+
 def test_packing_is_tight_and_whole(spark):
     rng = random.Random(4)
     rows = [(i, 0, rng.choice([0, 3, 700, 700, rng.randrange(1, 1500), rng.randrange(1, 9000)])) for i in range(1500)]
