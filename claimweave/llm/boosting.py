@@ -1,4 +1,4 @@
-"""Small gradient-boosted regression trees on arrays: squared loss, histogram splits."""
+"""Small gradient-boosted regression trees on arrays: squared loss (Huber loss with ``clip``), histogram splits."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ class BoostedTrees:
     Constant targets or features give a constant prediction.
     """
 
-    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, least: int = 20):
-        self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
+    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, least: int = 20, clip: float = np.inf):
+        self.rounds, self.depth, self.rate, self.bins, self.least, self.clip = rounds, depth, rate, bins, least, clip
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         self.edges = [np.unique(np.quantile(col, np.linspace(0, 1, self.bins + 1)[1:-1])) for col in x.T]
@@ -22,7 +22,7 @@ class BoostedTrees:
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         out = np.full(len(y), self.base)
         for _ in range(self.rounds):
-            tree = self._grow(code, y - out)
+            tree = self._grow(code, np.clip(y - out, -self.clip, self.clip))
             self.trees.append(tree)
             out += self.rate * self._apply(tree, code)
         return self

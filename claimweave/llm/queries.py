@@ -67,7 +67,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean absolute error of out-of-fold grades per fold of sources, beside that of a constant."""
+    """Mean absolute error of calibrated out-of-fold grades per source, beside that of the sentence's own index and of a constant."""
     model = reading.fit_model(table(spark, folder, "documents"))
-    rows = [(f, n, round(e, 4), round(c, 4)) for f, n, e, c in model.folds]
-    return spark.createDataFrame(rows, "fold string, n_sentences int, abs_error double, abs_error_constant double")
+    rows = [(s, n, *(round(v, 4) for v in errors)) for s, n, *errors in model.sources]
+    return spark.createDataFrame(rows, "source string, n_sentences int, abs_error double, abs_error_index double, abs_error_constant double, bias double")

@@ -297,6 +297,23 @@ def test_reading_level_bands(spark):
     assert reading.reading_level(df, empty).count() == len(rows) + 1
 
 
+def test_grades_beat_the_index_on_held_out_sources(spark):
+    model = reading.fit_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    n = np.array([s[1] for s in model.sources])
+    graded, index, constant = (float((n * [s[k] for s in model.sources]).sum() / n.sum()) for k in (2, 3, 4))
+    assert graded < 0.7 * index and graded < 0.5 * constant
+    assert abs(sum(s[1] * s[5] for s in model.sources) / n.sum()) < 0.5  # calibrated
+
+
+def test_prose_is_told_from_the_rest():
+    p = reading.prose_sentences
+    text = "See https://example.org/x for the note. It ends here.\nyear | folio | name\nLIMIT 64\n1861 | 9\nA line of many words that has no mark at its end\nShort title\nTHE ISLAND WAS SOLD IN MAY."
+    assert [" ".join(s) for s in p(text)] == ["See for the note.", "It ends here.", "A line of many words that has no mark at its end", "THE ISLAND WAS SOLD IN MAY."]
+    x, owner, counts = reading.sentence_features([p("The dog saw the dog. The dog ran; then, it sat."), [], p("The dog saw.")], {"the": 0})
+    assert x.shape == (3, len(reading.FEATURES)) and owner.tolist() == [0, 0, 2]
+    assert np.allclose(x[:, -2], [0, 1 / 3, 0])  # "The" and "dog"; nothing shared across documents
+
+
 def test_found_queries_run(spark):
     import duckdb
 
