@@ -8,7 +8,7 @@ below one. Every inner node's largest child continues its chain; a node's chain
 position come from doubling along heavy edges. Chains form a tree of at most log2(n)
 levels, so a path is a short list of chain prefixes, concatenated by doubling over
 chains. A node's descendants are the nodes whose list holds its chain at its position or
-further down.
+further down; paths and descendants are read off blocks of chain positions.
 
 All steps are equi-joins and partial aggregates on node keys; each round is written to
 the shared folder, which cuts lineage. The number of rounds follows the logarithm of the
@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from claimweave.plans.runtime import Scratch
 
 
+BLOCK = 1_024  # chain positions per row
+
+
 @dataclass
 class Hierarchy:
     """``nodes``: node, parent, root, depth, chain, pos, size, path (array of chain, upto).
@@ -35,23 +38,34 @@ class Hierarchy:
 
     nodes: DataFrame
 
+    def _steps(self) -> DataFrame:
+        """``node, seg, block, members``: the chain segments above each node, members in order, at most ``BLOCK`` a row.
+
+        Chains are cut into blocks of fixed length, and a node asks for the blocks its
+        prefix reaches into, so the work follows the output and no row holds a whole chain.
+        """
+        t = self.nodes.where("depth >= 0")
+        at = F.expr(f"pos div {BLOCK}").alias("block")
+        held = t.groupBy("chain", at).agg(F.sort_array(F.collect_list(F.struct("pos", "node"))).alias("m"))
+        held = held.select("chain", "block", F.col("m.node").alias("m"))
+        parts = t.select("node", F.posexplode("path").alias("seg", "s")).select("node", "seg", F.col("s.chain").alias("chain"), F.col("s.upto").alias("upto"))
+        parts = parts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"upto div {BLOCK}"))))
+        return parts.join(held, ["chain", "block"]).select(
+            "node", "seg", "block", F.slice("m", F.lit(1), F.least(F.col("upto") - F.col("block") * BLOCK + 1, F.lit(BLOCK)).cast("int")).alias("members")
+        )
+
     def full_paths(self) -> DataFrame:
         """``node, path``: array of nodes from the root down to the node itself (tree nodes only)."""
-        t = self.nodes.where("depth >= 0")
-        parts = t.select("node", F.explode("path").alias("s")).select("node", F.col("s.chain").alias("chain"), F.col("s.upto").alias("upto"))
-        members = t.select("chain", "pos", F.col("node").alias("member"), "depth")
-        steps = parts.join(members, "chain").where("pos <= upto")
         # a path has depth + 1 entries: the output row itself is that long
-        got = steps.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("depth", "member"))).alias("p"))
-        return got.select("node", F.col("p.member").alias("path"))
+        got = self._steps().groupBy("node").agg(F.sort_array(F.collect_list(F.struct("seg", "block", "members"))).alias("p"))
+        return got.select("node", F.flatten("p.members").alias("path"))
 
     def descendants(self, ancestors: DataFrame | None = None) -> DataFrame:
         """``ancestor, node`` pairs, the node itself excluded; ``ancestors`` (column ``node``) limits whose."""
-        t = self.nodes.where("depth >= 0")
-        above = t if ancestors is None else t.join(ancestors.select("node").distinct(), "node", "left_semi")
-        above = above.select(F.col("node").alias("ancestor"), "chain", "pos")
-        parts = t.select("node", F.explode("path").alias("s")).select("node", F.col("s.chain").alias("chain"), F.col("s.upto").alias("upto"))
-        return above.join(parts, "chain").where("pos <= upto and ancestor <> node").select("ancestor", "node")
+        pairs = self._steps().select(F.explode("members").alias("ancestor"), "node").where("ancestor <> node")
+        if ancestors is None:
+            return pairs
+        return pairs.join(ancestors.select(F.col("node").alias("ancestor")).distinct(), "ancestor", "left_semi")
 
 
 def build_hierarchy(df: DataFrame, node: str, parent: str, order: str) -> Hierarchy:
@@ -73,17 +87,16 @@ def build_hierarchy(df: DataFrame, node: str, parent: str, order: str) -> Hierar
     nodes = keep(first.join(exists, "parent", "left").select("node", F.when(F.col("there"), F.col("parent")).alias("parent")))
 
     # ancestors at 2**k and sizes within 2**k levels
-    state, live = keep(nodes.select("node", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("size"))), None
-    while True:
-        now = state.where("anc is not null").count()
-        if now == 0 or now == live:
-            break
+    live = None
+    state, now = scratch.keep_counting(nodes.select("node", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("size")), "anc is not null")
+    while now and now != live:
         live = now
         gained = state.where("anc is not null").groupBy("anc").agg(F.sum("size").alias("more")).withColumnRenamed("anc", "node")
         step = state.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"))
-        new = keep(
+        new, now = scratch.keep_counting(
             state.join(step, "anc", "left").select("node", F.col("anc2").alias("anc"), "size")
-            .join(gained, "node", "left").select("node", "anc", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+            .join(gained, "node", "left").select("node", "anc", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")),
+            "anc is not null",
         )
         scratch.drop(state)
         state = new
@@ -102,10 +115,11 @@ def build_hierarchy(df: DataFrame, node: str, parent: str, order: str) -> Hierar
     )
     while True:
         step = chain.select(F.col("node").alias("chain"), F.col("chain").alias("chain2"), F.col("pos").alias("pos2"))
-        new = keep(chain.join(step, "chain").select("node", F.col("chain2").alias("chain"), (F.col("pos") + F.col("pos2")).alias("pos"), (F.col("pos2") > 0).alias("moved")))
+        moved = chain.join(step, "chain").select("node", F.col("chain2").alias("chain"), (F.col("pos") + F.col("pos2")).alias("pos"), (F.col("pos2") > 0).alias("moved"))
+        new, n = scratch.keep_counting(moved, "moved")
         scratch.drop(chain)
         chain = new
-        if chain.where("moved").isEmpty():
+        if not n:
             break
 
     # chains hang on chains: concatenate prefixes by doubling
@@ -114,16 +128,17 @@ def build_hierarchy(df: DataFrame, node: str, parent: str, order: str) -> Hierar
     prefix = F.when(F.col("up").isNotNull(), F.array(F.struct(F.col("up").alias("chain"), "upto"))).otherwise(
         F.expr("cast(array() as array<struct<chain:string,upto:bigint>>)")
     )
-    tops = keep(
-        heads.join(hang, "at", "left").select("chain", "up", F.coalesce(F.col("upto") + 1, F.lit(0)).alias("base"), prefix.alias("path"))
+    tops, n = scratch.keep_counting(
+        heads.join(hang, "at", "left").select("chain", "up", F.coalesce(F.col("upto") + 1, F.lit(0)).alias("base"), prefix.alias("path")), "up is not null"
     )
-    while not tops.where("up is not null").isEmpty():
+    while n:
         step = tops.select(F.col("chain").alias("up"), F.col("up").alias("up2"), F.col("base").alias("base2"), F.col("path").alias("path2"))
-        new = keep(
+        new, n = scratch.keep_counting(
             tops.join(step, "up", "left").select(
                 "chain", F.col("up2").alias("up"), (F.col("base") + F.coalesce("base2", F.lit(0))).alias("base"),
                 F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"),
-            )
+            ),
+            "up is not null",
         )
         scratch.drop(tops)
         tops = new

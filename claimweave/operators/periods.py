@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.operators.heavy import heavy_keys
-from claimweave.plans.runtime import Scratch
+from claimweave.plans.runtime import Scratch, sorted_numbering
 
 OPEN = 1 << 62  # stands for an open end; real values lie strictly inside (-OPEN, OPEN)
 TOP = 63
@@ -91,9 +91,17 @@ def solve_groups(group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.
 
 
 def _sweep(keys: list[str], spans: bool, chunk_rows: int = 200_000):
-    """mapInArrow function over rows sorted by ``keys``: gaps inside each group and, if asked, its outer span."""
+    """mapInArrow function over rows sorted by ``keys`` and ``lo``: gaps inside each group and, if asked, its outer span.
 
-    def solve(t: pa.Table, runs_only: bool = False):
+    Holds ``chunk_rows`` rows and a batch, whatever the size of a group.
+    """
+
+    def solve(t: pa.Table, origin: int | None = None, closing: bool = True):
+        """Gaps (and spans) of the table's groups, and its last period.
+
+        ``origin``: where the first group began, if earlier rows of it are gone;
+        ``closing`` false: the last group goes on, so its span is not known yet.
+        """
         n = t.num_rows
         new = np.zeros(n, bool)
         new[0] = True
@@ -103,22 +111,23 @@ def _sweep(keys: list[str], spans: bool, chunk_rows: int = 200_000):
             new[1:] |= code[1:] != code[:-1]
         first_row = np.flatnonzero(new)
         g, lo, hi = solve_groups(np.cumsum(new) - 1, t["lo"].to_numpy(), t["hi"].to_numpy())
-        if runs_only:
-            return lo, hi
         same = g[1:] == g[:-1]
         parts = [(first_row[g[1:][same]], hi[:-1][same], lo[1:][same], "gap")]
-        if spans:
+        if spans and closing:
             head = np.ones(len(g), bool)
             head[1:] = ~same
             tail = np.ones(len(g), bool)
             tail[:-1] = ~same
-            parts.append((first_row[g[head]], lo[head], hi[tail], "span"))
+            start = lo[head]
+            if origin is not None:
+                start[0] = origin
+            parts.append((first_row[g[head]], start, hi[tail], "span"))
         out = []
         for rows, a, b, kind in parts:
             part = t.select(keys).take(pa.array(rows))
             part = part.append_column("kind", pa.array([kind] * len(rows), pa.string()))
             out.append(part.append_column("lo", pa.array(a)).append_column("hi", pa.array(b)))
-        return out
+        return out, (int(lo[0]), int(lo[-1]), int(hi[-1]))
 
     def cut(t: pa.Table) -> int:
         """Row where the last group begins."""
@@ -132,28 +141,29 @@ def _sweep(keys: list[str], spans: bool, chunk_rows: int = 200_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        count = 0
-        limit = chunk_rows
+        count, origin = 0, None
         for b in batches:
             if b.num_rows:
                 held.append(pa.Table.from_batches([b]))
                 count += b.num_rows
-            if count < limit:
+            if count < chunk_rows:
                 continue
             t = pa.concat_tables(held).combine_chunks()
             at = cut(t)
             if at:
-                for part in solve(t.slice(0, at)):
+                for part in solve(t.slice(0, at), origin)[0]:
                     yield from part.to_batches()
-                rest = t.slice(at)
-            else:  # one group fills the chunk: keep its periods only
-                lo, hi = solve(t, runs_only=True)
-                rest = t.select(keys).take(pa.array(np.zeros(len(lo), np.int64)))
-                rest = rest.append_column("lo", pa.array(lo)).append_column("hi", pa.array(hi))
+                rest, origin = t.slice(at), None
+            else:
+                # one group fills the chunk; rows come by lo, so all its periods but the last are closed
+                parts, (begin, lo, hi) = solve(t, closing=False)
+                for part in parts:
+                    yield from part.to_batches()
+                origin = begin if origin is None else origin
+                rest = t.select(keys).slice(0, 1).append_column("lo", pa.array([lo])).append_column("hi", pa.array([hi]))
             held, count = [rest], rest.num_rows
-            limit = max(chunk_rows, 2 * count)
         if count:
-            for part in solve(pa.concat_tables(held).combine_chunks()):
+            for part in solve(pa.concat_tables(held).combine_chunks(), origin)[0]:
                 yield from part.to_batches()
 
     return run
@@ -174,7 +184,9 @@ def gaps(df: DataFrame, keys: list[str], cell_bits: int, lo: str = "lo", hi: str
     ).where("lo < hi")
     scratch = Scratch(df.sparkSession, "periods")
     tag = F.xxhash64(*keys).alias("_group")
-    hot = heavy_keys(rows.select(tag), "_group", hot_share)  # at most 512 hashes; a false positive only costs a cut
+    # hot: more than a quarter of a task's fair share; a false positive only costs a cut
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = heavy_keys(rows.select(tag), "_group", min(hot_share, 1 / (4 * n)), max(512, min(4 * n, 100_000)))
     tagged = rows.select("*", tag).join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_group", "left")
     one, cl, ch = F.lit(1).cast("long"), F.expr(f"shiftright(lo, {cell_bits})"), F.expr(f"shiftright(hi - 1, {cell_bits})")
     tagged = tagged.withColumns({"_cl": cl, "_ch": ch}).drop("_group")
@@ -194,9 +206,7 @@ def gaps(df: DataFrame, keys: list[str], cell_bits: int, lo: str = "lo", hi: str
     )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
     fine = tagged.select(*keys, F.inline(pieces))
-    # identical pieces (repeated rows, boundary cells) are dropped before the sort
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fine = fine.repartition(n, *keys, "cell").sortWithinPartitions(*keys, "cell")
+    fine = fine.repartition(n, *keys, "cell").sortWithinPartitions(*keys, "cell", "lo")
     solved = scratch.keep(fine.mapInArrow(_sweep([*keys, "cell"], True), f"{schema}, cell long, kind string, lo long, hi long"))
     plain = solved.where("cell is null and kind = 'gap'")
     # whole cells inside hot intervals, as canonical dyadic blocks of cell numbers
@@ -216,7 +226,7 @@ def gaps(df: DataFrame, keys: list[str], cell_bits: int, lo: str = "lo", hi: str
             F.expr(f"shiftleft(least(shiftleft(ix + 1, level), shiftleft(1L, {TOP - 1 - cell_bits})), {cell_bits})").alias("hi"),
         )
     )
-    outer = spans.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(
+    outer = spans.repartition(n, *keys).sortWithinPartitions(*keys, "lo").mapInArrow(
         _sweep(keys, False), f"{schema}, kind string, lo long, hi long"
     )
     parts = [x.select(*keys, F.col("lo").alias("gap_lo"), F.col("hi").alias("gap_hi")) for x in (plain, inner.where("kind = 'gap'"), outer)]
@@ -249,20 +259,23 @@ def canonical_blocks(a: str, b: str):
 
 
 def periods_from_gaps(df: DataFrame, found: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Continuous periods: the hull of a group cut at its gaps; open ends are null again."""
+    """Continuous periods ``keys..., period_lo, period_hi``: the hull of a group cut at its ``gaps``; open ends are null again.
+
+    Over all groups in order, the k-th start and the k-th end belong to one period, as a
+    group has as many of either. Both are numbered by sampled ranges and meet by number,
+    so a group of any size is spread over tasks.
+    """
+    scratch = Scratch(df.sparkSession, "periods")
     hull = (
         df.where(" and ".join(f"`{k}` is not null" for k in keys))
         .select(*keys, F.coalesce(lo, F.lit(-OPEN)).alias("lo"), F.coalesce(hi, F.lit(OPEN)).alias("hi")).where("lo < hi")
         .groupBy(*keys).agg(F.min("lo").alias("period_lo"), F.max("hi").alias("period_hi"))
     )
+    hull, found = scratch.keep(hull), scratch.keep(found)
     starts = hull.select(*keys, F.col("period_lo").alias("p")).unionByName(found.select(*keys, F.col("gap_hi").alias("p")))
-    ends = hull.select(*keys, F.col("period_hi").alias("p")).unionByName(found.select(*keys, F.col("gap_lo").alias("p")))
-    # the k-th start belongs to the k-th end; both lists have one entry per period
-    marks = starts.withColumn("d", F.lit(0)).unionByName(ends.withColumn("d", F.lit(1)))
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(*keys).orderBy("p", F.col("d").desc())
-    out = marks.withColumn("next", F.lead("p").over(w)).where("d = 0")
-    return out.select(
-        *keys, F.when(F.col("p") > -OPEN, F.col("p")).alias("period_lo"), F.when(F.col("next") < OPEN, F.col("next")).alias("period_hi")
+    ends = hull.select(*keys, F.col("period_hi").alias("q")).unionByName(found.select(*keys, F.col("gap_lo").alias("q")))
+    starts = sorted_numbering(starts, [*keys, "p"], scratch)
+    ends = sorted_numbering(ends, [*keys, "q"], scratch).select("ix", "q")
+    return starts.join(ends, "ix").select(
+        *keys, F.when(F.col("p") > -OPEN, F.col("p")).alias("period_lo"), F.when(F.col("q") < OPEN, F.col("q")).alias("period_hi")
     )

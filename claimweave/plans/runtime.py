@@ -7,10 +7,11 @@ executor costs at most the stage that it was running.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +23,36 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext.getCheckpointDir()
         path = held.rsplit("/", 1)[0] if held else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         path = "file://" + tempfile.mkdtemp(prefix="claimweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def remove_scratch() -> None:
+    """Delete the intermediate tables of all operators; results that were not read yet need them, so this is for the end of a run."""
+    while _ROOTS:
+        spark, root = _ROOTS.pop()
+        try:
+            _delete(spark, root)
+        except Exception:  # the session is gone: the folder's owner cleans up
+            return
+
+
+def _remove_at_exit(spark: SparkSession, root: str) -> None:
+    _ROOTS.append((spark, root))
+
+
 class Scratch:
     """Intermediate tables of one operator run, in the shared folder.
 
@@ -38,6 +64,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/claimweave/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        _remove_at_exit(spark, self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -47,12 +74,17 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def keep_counting(self, df: DataFrame, condition: str) -> tuple[DataFrame, int]:
+        """``keep``, and the number of rows that meet a condition, counted while they are written."""
+        seen = Observation()
+        out = self.keep(df.observe(seen, F.count(F.when(F.expr(condition), 1)).alias("n")))
+        return out, int(seen.get["n"])
+
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
             path = getattr(df, "_scratch_path", None) if df is not None else None
             if path:
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                _delete(self.spark, path)
 
 
 def _nullable(schema: T.StructType) -> T.StructType:

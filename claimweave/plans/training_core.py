@@ -104,14 +104,21 @@ def history_intervals(spark: SparkSession, folder: str) -> DataFrame:
     return h.select("subject", "predicate", F.inline(both))
 
 
+def _all_gaps(rows: DataFrame) -> DataFrame:
+    keys = ["subject", "predicate", "axis"]
+    # cells for hot groups: 512 days, 2**36 microseconds (19 hours)
+    return periods.gaps(rows.where("axis = 'valid'"), keys, 9).unionByName(periods.gaps(rows.where("axis = 'tx'"), keys, 36))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Gaps between the continuous periods of each subject and predicate, on both time axes."""
+    return _all_gaps(history_intervals(spark, folder))
+
+
+def p5_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """The continuous periods of each subject and predicate, on both time axes; null is an open end."""
     rows = history_intervals(spark, folder)
-    keys = ["subject", "predicate", "axis"]
-    # cells for hot groups: 512 days, 2**36 microseconds (19 hours)
-    valid = periods.gaps(rows.where("axis = 'valid'"), keys, 9)
-    tx = periods.gaps(rows.where("axis = 'tx'"), keys, 36)
-    return valid.unionByName(tx)
+    return periods.periods_from_gaps(rows, _all_gaps(rows), ["subject", "predicate", "axis"])
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,6 +158,14 @@ SQL = {
         "o AS (SELECT *, max(hi) OVER (PARTITION BY subject, predicate, axis ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM i WHERE lo < hi AND subject IS NOT NULL AND predicate IS NOT NULL) "
         "SELECT subject, predicate, axis, CAST(e AS BIGINT) AS gap_lo, CAST(lo AS BIGINT) AS gap_hi FROM o WHERE lo > e"
     ),
+    "p5_periods": (
+        "WITH i AS (SELECT subject, predicate, 'valid' AS axis, coalesce(date_diff('day', DATE '1970-01-01', valid_lo), -4611686018427387904) AS lo, "
+        "coalesce(date_diff('day', DATE '1970-01-01', valid_hi), 4611686018427387904) AS hi FROM history UNION ALL "
+        "SELECT subject, predicate, 'tx', coalesce(epoch_us(tx_lo), -4611686018427387904), coalesce(epoch_us(tx_hi), 4611686018427387904) FROM history), "
+        "o AS (SELECT *, max(hi) OVER (PARTITION BY subject, predicate, axis ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM i WHERE lo < hi AND subject IS NOT NULL AND predicate IS NOT NULL), "
+        "g AS (SELECT *, sum(CASE WHEN e IS NULL OR lo > e THEN 1 ELSE 0 END) OVER (PARTITION BY subject, predicate, axis ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS k FROM o) "
+        "SELECT subject, predicate, axis, CAST(nullif(min(lo), -4611686018427387904) AS BIGINT) AS period_lo, CAST(nullif(max(hi), 4611686018427387904) AS BIGINT) AS period_hi FROM g GROUP BY subject, predicate, axis, k"
+    ),
     "p4_found": (
         "WITH RECURSIVE c AS (SELECT iri, arg_min(coalesce(nullif(trim(coalesce(parent, '')), ''), ''), req_id) AS parent FROM contexts WHERE iri IS NOT NULL GROUP BY iri), "
         "n AS (SELECT c.iri, p.iri AS parent FROM c LEFT JOIN c p ON c.parent = p.iri), "

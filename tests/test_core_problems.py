@@ -235,3 +235,40 @@ def test_whole_numbers_are_exact(spark):
     df = spark.createDataFrame([(k,) for k in cases], "v string")
     got = {r["v"]: r["k"] for r in df.select("v", wide.typed_key(F.lit("integer"), F.col("v"), F.lit(None).cast("string")).alias("k")).collect()}
     assert got == cases
+
+
+def test_sweep_holds_no_more_than_a_chunk():
+    """One group of very many disjoint intervals streams through: gaps come out before all rows are in."""
+    import pyarrow as pa
+
+    n, size = 400_000, 10_000
+    asked = []
+
+    def rows():
+        for k in range(0, n, size):
+            asked.append(k)
+            lo = np.arange(k, k + size) * 10
+            yield pa.RecordBatch.from_arrays([pa.array(["g"] * size), pa.array(lo), pa.array(lo + 4)], names=["key", "lo", "hi"])
+
+    run = periods._sweep(["key"], True, chunk_rows=50_000)
+    total, spans, early = 0, [], None
+    for out in run(rows()):
+        kinds = out.column(out.schema.get_field_index("kind")).to_pylist()
+        total += kinds.count("gap")
+        early = len(asked) if early is None else early
+        spans += [(out.column(2)[i].as_py(), out.column(3)[i].as_py()) for i, k in enumerate(kinds) if k == "span"]
+    assert total == n - 1 and spans == [(0, (n - 1) * 10 + 4)] and early < 10
+
+
+def test_long_chains_and_their_leaves(spark):
+    """A chain longer than a block with leaves at its top: paths and descendants are exact."""
+    n = 2_500
+    rows = [("c00000", None, 0)] + [(f"c{i:05d}", f"c{i - 1:05d}", i) for i in range(1, n)] + [(f"leaf{i}", "c00001", n + i) for i in range(50)]
+    h = build_hierarchy(spark.createDataFrame(rows, "node string, parent string, o int"), "node", "parent", "o")
+    paths = {r["node"]: r["path"] for r in h.full_paths().where("node in ('c02499', 'leaf7', 'c00000', 'c01024')").collect()}
+    assert paths["leaf7"] == ["c00000", "c00001", "leaf7"] and paths["c00000"] == ["c00000"]
+    assert paths["c02499"] == [f"c{i:05d}" for i in range(n)] and paths["c01024"] == [f"c{i:05d}" for i in range(1_025)]
+    want = n * (n - 1) // 2 + 50 * 2
+    assert h.descendants().count() == want
+    some = spark.createDataFrame([("c00001",), ("c02490",)], "node string")
+    assert {(r["ancestor"], r["count"]) for r in h.descendants(some).groupBy("ancestor").count().collect()} == {("c00001", n - 2 + 50), ("c02490", 9)}
