@@ -62,8 +62,15 @@ def max_auto_maturity(level: Column) -> Column:
     return lookup(MAX_AUTO_MATURITY, level, F.lit(1))
 
 
+# Least confidence for each maturity, highest first.
+MATURITY_FLOORS = [(0.95, 4), (0.8, 3), (0.6, 2), (0.4, 1)]
+
+
 def confidence_to_maturity(c: Column) -> Column:
-    return F.when(c >= 0.95, 4).when(c >= 0.8, 3).when(c >= 0.6, 2).when(c >= 0.4, 1).otherwise(0)
+    out = F.lit(0)
+    for floor, maturity in reversed(MATURITY_FLOORS):
+        out = F.when(c >= floor, maturity).otherwise(out)
+    return out
 
 
 def text_config(lang: Column) -> Column:
@@ -141,19 +148,28 @@ def content_hash(subject: Column, predicate: Column, object_iri: Column, object_
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
 
 
+# Words and signs that mark a time as approximate, at its start.
+APPROXIMATE = ["circa", "c.", "ca.", "about", "abt", "abt.", "approximately", "approx", "approx."]
+_GRAINS = {"year": 4, "month": 7, "day": 10}  # length of the ISO text of each grain
+
+
 def time_expression(raw: Column) -> dict[str, Column]:
     """Range, grain and flags of ``1998``, ``c. 1998``, ``1998-10?``, ``1998-10-03``; other texts have grain ``unknown`` and no range."""
     text = F.lower(F.trim(raw))
-    mark = r"^(circa|c\.|ca\.|about|abt\.?|approximately|approx\.?)\s*"
-    approximate, uncertain = text.rlike(mark), text.contains("?")
-    core = F.replace(F.regexp_replace(text, mark, ""), F.lit("?"), F.lit(""))
-    grain = (
-        F.when(core.rlike(r"^\d{4}$"), "year").when(core.rlike(r"^\d{4}-\d{2}$"), "month").when(core.rlike(r"^\d{4}-\d{2}-\d{2}$"), "day")
-    )
-    full = F.when(grain == "year", F.concat(core, F.lit("-01-01"))).when(grain == "month", F.concat(core, F.lit("-01"))).when(grain == "day", core)
-    lo = full.try_cast("date")
-    hi = F.when(grain == "year", F.add_months(lo, 12)).when(grain == "month", F.add_months(lo, 1)).when(grain == "day", F.date_add(lo, 1))
-    edtf = F.concat(F.coalesce(F.when(grain.isNotNull(), core), raw), F.when(approximate, "~").otherwise(""), F.when(uncertain, "?").otherwise(""))
+    longest = F.lit("")
+    for word in sorted(APPROXIMATE, key=len):
+        longest = F.when(text.startswith(word), word).otherwise(longest)
+    approximate, uncertain = longest != "", text.contains("?")
+    core = F.trim(F.replace(F.ltrim(F.substring(text, F.length(longest) + 1, F.length(text))), F.lit("?"), F.lit("")))
+    digits = F.translate(core, "0123456789", "0000000000")
+    grain = F.lit(None).cast("string")
+    for name, n in _GRAINS.items():
+        grain = F.when(digits == "0000-00-00"[:n], name).otherwise(grain)
+    lo = F.when(grain.isNotNull(), F.concat(core, F.substring(F.lit("0000-01-01"), F.length(core) + 1, F.lit(10)))).try_cast("date")
+    months = F.when(grain == "year", 12).when(grain == "month", 1).otherwise(0)
+    hi = F.when(grain.isNotNull(), F.date_add(F.add_months(lo, months), F.when(grain == "day", 1).otherwise(0)))
+    marks = F.concat(F.when(approximate, "~").otherwise(""), F.when(uncertain, "?").otherwise(""))
+    edtf = F.concat(F.when(grain.isNotNull(), core).otherwise(raw), marks)
     return {"lo": lo, "hi": hi, "grain": F.coalesce(grain, F.lit("unknown")), "approximate": approximate, "uncertain": uncertain, "edtf": edtf}
 
 

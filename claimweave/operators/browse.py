@@ -80,18 +80,24 @@ def exclusive_subjects(claims: DataFrame) -> DataFrame:
     return claims.where("tx_hi is null").groupBy("subject").agg(F.min("context").alias("context"), F.max("context").alias("_b")).where("context = _b").drop("_b")
 
 
+OWN = "claim:"  # prefix of the engine's own predicates
+
+
 def contradictions(claims: DataFrame) -> DataFrame:
-    """Subject and predicate pairs with several values among open asserted rows; hard if all have maturity 3 or more.
+    """Subject and predicate pairs with several values among open rows of any polarity; hard if all have maturity 3 or more.
 
-    Grouped, not self-joined: a pair with very many values gives one row.
+    The engine's own predicates and those of the type system say nothing here. Grouped,
+    not self-joined: a pair with very many values gives one row.
     """
-    rows = claims.where("tx_hi is null and polarity = 'asserted'").select("subject", "predicate", F.expr(VALUE).alias("value"), "maturity")
+    said = claims.where("tx_hi is null").where(~F.col("predicate").startswith(OWN) & ~F.col("predicate").startswith("rdf:"))
+    rows = said.select("subject", "predicate", F.expr(VALUE).alias("value"), "maturity").where("value is not null")
     return rows.groupBy("subject", "predicate").agg(F.count_distinct("value").alias("n_values"), (F.min("maturity") >= 3).alias("hard")).where("n_values > 1")
 
 
 def corroborations(claims: DataFrame) -> DataFrame:
-    """Values stated in two contexts or more."""
-    rows = claims.where("tx_hi is null and polarity = 'asserted'").select("subject", "predicate", F.expr(VALUE).alias("value"), "context", "maturity")
+    """Values that open rows of any polarity state in two contexts or more; own predicates aside."""
+    said = claims.where("tx_hi is null").where(~F.col("predicate").startswith(OWN))
+    rows = said.select("subject", "predicate", F.expr(VALUE).alias("value"), "context", "maturity")
     return rows.groupBy("subject", "predicate", "value").agg(F.count_distinct("context").alias("n_contexts"), F.max("maturity").alias("max_maturity")).where("n_contexts > 1")
 
 
@@ -123,16 +129,28 @@ def predicate_growth(claims: DataFrame) -> DataFrame:
     return claims.groupBy("predicate").agg(F.min(F.to_date("tx_lo")).alias("day")).groupBy("day").agg(F.count("*").alias("new_predicates"))
 
 
-def quality(claims: DataFrame) -> DataFrame:
-    """Per subject: share of mature rows, literal rows with datatype, distinct predicates and contexts, weighted to one score."""
-    rows = claims.where("tx_hi is null")
-    out = rows.groupBy("subject").agg(
-        F.count("*").alias("n"), F.avg(F.when(F.col("maturity") >= 2, 1.0).otherwise(0.0)).alias("mature"),
-        F.count_distinct("predicate").alias("predicates"), F.count_distinct("context").alias("contexts"),
-        F.avg(F.when(F.col("valid_lo").isNotNull(), 1.0).otherwise(0.0)).alias("dated"),
+def quality(claims: DataFrame, expected: dict[str, list[str]]) -> DataFrame:
+    """Per subject: mean maturity, predicates, share of corroborated values, contradictions, coverage of the expected categories, and one score.
+
+    Weights: maturity of 4 at 0.3, twenty predicates at 0.2, corroboration at 0.2, freedom
+    from contradictions (per hundred rows, none at ten) at 0.15, coverage at 0.15.
+    """
+    rows = claims.where("tx_hi is null").withColumn("value", F.expr(VALUE))
+    values = rows.groupBy("subject", "predicate", "value").agg(F.count("*").alias("n"), F.sum("maturity").alias("m"), F.count_distinct("context").alias("contexts"))
+    own = F.col("predicate").startswith(OWN) | F.col("predicate").startswith("rdf:")
+    pairs = values.groupBy("subject", "predicate").agg(
+        F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("*").alias("k"), F.count_if(F.col("contexts") >= 2).alias("twice"), F.count("value").alias("told")
+    )
+    found = [F.max(F.col("predicate").isin(names).cast("int")) for names in expected.values()]
+    out = pairs.groupBy("subject").agg(
+        F.sum("n").alias("n"), (F.sum("m") / F.sum("n")).alias("maturity"), F.count("*").alias("predicates"), (F.sum("twice") / F.sum("k")).alias("corroborated"),
+        F.count_if((F.col("told") > 1) & ~own).alias("contradictions"), (sum(found) / F.lit(float(len(expected)))).alias("coverage"),
     )
-    score = 0.3 * F.col("mature") + 0.2 * F.least(F.lit(1.0), F.col("predicates") / 10) + 0.2 * F.least(F.lit(1.0), F.col("contexts") / 3) + 0.15 * F.col("dated") + 0.15 * F.least(F.lit(1.0), F.col("n") / 20)
-    return out.withColumn("score", F.round(score, 6))
+    calm = 1 - F.least(F.least(F.col("contradictions"), F.lit(100)) / F.col("n") * 100 / 10, F.lit(1.0))
+    score = (
+        0.3 * F.least(F.col("maturity") / 4, F.lit(1.0)) + 0.2 * F.least(F.col("predicates") / 20, F.lit(1.0)) + 0.2 * F.col("corroborated") + 0.15 * calm + 0.15 * F.col("coverage")
+    )
+    return out.select("subject", "n", "predicates", "contradictions", F.round(score, 6).alias("score"))
 
 
 def yield_metrics(claims: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ def resolve_scope(
     """``context`` of every context in scope. ``contexts``: iri, kind, parent.
 
     No include means all contexts. Include seeds are closed over descendants and
-    ancestors as asked, excluded contexts (closed the same way) are removed, kind filters
-    come last; seeds that don't exist drop out. Loops among parents end the closure.
+    ancestors as asked, the excluded contexts themselves are removed (not what lies below
+    them), kind filters come last; seeds that don't exist drop out. Loops among parents end the closure.
     """
     nodes = contexts.select(F.col("iri").alias("node"), "kind").distinct()
 
@@ -34,7 +34,7 @@ def resolve_scope(
 
     got = nodes if not isinstance(include, DataFrame) and not include else nodes.join(closed(include), "node", "left_semi")
     if exclude:
-        got = got.join(closed(exclude), "node", "left_anti")
+        got = got.where(~F.col("node").isin(exclude))
     if kinds:
         got = got.where(F.col("kind").isin(kinds))
     if exclude_kinds:

@@ -68,14 +68,10 @@ def resolve_scope(spark, folder):
     return scope.resolve_scope(fx.contexts(spark, folder), include=["ctx:src/s01", "ctx:src/s12"])
 
 
-@query(
-    f"SELECT iri AS context FROM ctx WHERE iri NOT IN (SELECT iri FROM sc) AND kind IS NOT NULL AND kind NOT IN ('hypothesis')", X, UNDER,
-)
+@query(f"SELECT iri AS context FROM ctx WHERE iri NOT IN ({ROOTS}) AND (kind IS NULL OR kind <> 'hypothesis')", X)
 def resolve_scope_exclude(spark, folder):
-    rows = fx.contexts(spark, folder)
-    return scope.resolve_scope(rows.where("kind is not null"), exclude=["ctx:src/s01", "ctx:src/s12"], exclude_kinds=["hypothesis"]).join(
-        scope.resolve_scope(rows, include=["ctx:src/s01", "ctx:src/s12"]), "context", "left_anti"
-    )
+    """Only the named contexts go; what lies below them stays."""
+    return scope.resolve_scope(fx.contexts(spark, folder), exclude=["ctx:src/s01", "ctx:src/s12"], exclude_kinds=["hypothesis"])
 
 
 @query("SELECT DISTINCT seed, node FROM up", X, "up AS (SELECT iri AS seed, parent AS node FROM ctx WHERE parent IS NOT NULL UNION SELECT up.seed, ctx.parent FROM up JOIN ctx ON ctx.iri = up.node WHERE ctx.parent IS NOT NULL)")
@@ -268,12 +264,16 @@ def exclusive_subjects(spark, folder):
     return browse.exclusive_subjects(fx.claims(spark, folder))
 
 
-@query(f"SELECT subject, predicate, count(DISTINCT {V}) AS n_values, min(maturity) >= 3 AS hard FROM claims WHERE tx_hi IS NULL AND polarity = 'asserted' GROUP BY 1, 2 HAVING count(DISTINCT {V}) > 1", C)
+@query(
+    f"SELECT DISTINCT a.subject, a.predicate, n.n_values, n.hard FROM claims a JOIN claims b ON a.subject = b.subject AND a.predicate = b.predicate AND a.statement_id < b.statement_id AND {V.replace('object', 'a.object')} <> {V.replace('object', 'b.object')} "
+    f"JOIN (SELECT subject, predicate, count(DISTINCT {V}) AS n_values, min(maturity) FILTER ({V} IS NOT NULL) >= 3 AS hard FROM claims WHERE tx_hi IS NULL GROUP BY 1, 2) n ON n.subject = a.subject AND n.predicate = a.predicate "
+    "WHERE a.tx_hi IS NULL AND b.tx_hi IS NULL AND a.predicate NOT LIKE 'claim:%' AND a.predicate NOT LIKE 'rdf:%'", C,
+)
 def contradictions(spark, folder):
     return browse.contradictions(fx.claims(spark, folder))
 
 
-@query(f"SELECT subject, predicate, {V} AS value, count(DISTINCT context) AS n_contexts, max(maturity) AS max_maturity FROM claims WHERE tx_hi IS NULL AND polarity = 'asserted' GROUP BY 1, 2, 3 HAVING count(DISTINCT context) > 1", C)
+@query(f"SELECT subject, predicate, {V} AS value, count(DISTINCT context) AS n_contexts, max(maturity) AS max_maturity FROM claims WHERE tx_hi IS NULL AND predicate NOT LIKE 'claim:%' GROUP BY 1, 2, 3 HAVING count(DISTINCT context) > 1", C)
 def corroborations(spark, folder):
     return browse.corroborations(fx.claims(spark, folder))
 
@@ -299,10 +299,15 @@ def predicate_growth(spark, folder):
 
 
 @query(
-    "SELECT subject, round(0.3 * avg(CASE WHEN maturity >= 2 THEN 1.0 ELSE 0.0 END) + 0.2 * least(1.0, count(DISTINCT predicate) / 10) + 0.2 * least(1.0, count(DISTINCT context) / 3) + 0.15 * avg(CASE WHEN valid_lo IS NOT NULL THEN 1.0 ELSE 0.0 END) + 0.15 * least(1.0, count(*) / 20), 5) AS score FROM claims WHERE tx_hi IS NULL GROUP BY subject", C,
+    f"SELECT subject, n, predicates, contradictions, round(0.3 * least(mat / 4, 1.0) + 0.2 * least(predicates / 20, 1.0) + 0.2 * corr / claims + 0.15 * (1 - least(least(contradictions, 100) / n * 100 / 10, 1.0)) + 0.15 * coverage, 5) AS score FROM "
+    "(SELECT subject, count(*) AS n, avg(maturity) AS mat, count(DISTINCT predicate) AS predicates, (CAST(bool_or(predicate IN ('ex:residesIn', 'ex:livesAt')) AS INT) + CAST(bool_or(predicate IN ('ex:childOf', 'ex:spouseOf')) AS INT)) / 2.0 AS coverage "
+    "FROM claims WHERE tx_hi IS NULL GROUP BY 1) s JOIN "
+    f"(SELECT subject, count(*) FILTER (c >= 2) AS corr, count(*) AS claims FROM (SELECT subject, predicate, {V} AS v, count(DISTINCT context) AS c FROM claims WHERE tx_hi IS NULL GROUP BY 1, 2, 3) GROUP BY 1) r USING (subject) JOIN "
+    f"(SELECT subject, count(*) FILTER (k > 1 AND predicate NOT LIKE 'claim:%' AND predicate NOT LIKE 'rdf:%') AS contradictions FROM (SELECT subject, predicate, count(DISTINCT {V}) AS k FROM claims WHERE tx_hi IS NULL GROUP BY 1, 2) GROUP BY 1) d USING (subject)", C,
 )
 def quality(spark, folder):
-    return browse.quality(fx.claims(spark, folder)).select("subject", F.round("score", 5).alias("score"))
+    expected = {"home": ["ex:residesIn", "ex:livesAt"], "kin": ["ex:childOf", "ex:spouseOf"]}
+    return browse.quality(fx.claims(spark, folder), expected).withColumn("score", F.round("score", 5))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT subject) AS subjects, count(DISTINCT predicate) AS predicates, count(DISTINCT context) AS contexts, count(*) FILTER (maturity <= 1) AS hypotheses FROM claims WHERE tx_hi IS NULL", C)
@@ -369,11 +374,30 @@ def policy_allows(spark, folder):
     return policy.policy_allows(ids, links, docs, fx.capsules(spark, folder), "quote")
 
 
-@query("SELECT CAST(d AS VARCHAR) AS d, year(d) AS y, CAST(make_date(year(d), 1, 1) AS VARCHAR) AS lo, CAST(make_date(year(d) + 1, 1, 1) AS VARCHAR) AS hi FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)")
+_FORMS = [("c. ", "year"), ("about ", "month"), ("", "day"), ("Circa ", "day"), ("approx. ", "year"), ("", "month"), ("after ", "unknown")]
+_SHOWN = {"year": 4, "month": 7, "day": 10, "unknown": 4}
+
+
+def _form_sql(mark: str, grain: str) -> str:
+    lo = "CAST(NULL AS DATE)" if grain == "unknown" else f"date_trunc('{grain}', d)"
+    return (
+        f"SELECT '{mark}' || left(CAST(d AS VARCHAR), {_SHOWN[grain]}) || CASE WHEN day(d) % 2 = 0 THEN '?' ELSE '' END AS raw, '{grain}' AS grain, {lo} AS lo, "
+        f"{mark not in ('', 'after ')} AS approximate, day(d) % 2 = 0 AS uncertain FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)"
+    )
+
+
+@query(
+    "SELECT raw, grain, CAST(CAST(lo AS DATE) AS VARCHAR) AS lo, CAST(CAST(CASE grain WHEN 'year' THEN lo + INTERVAL 1 YEAR WHEN 'month' THEN lo + INTERVAL 1 MONTH WHEN 'day' THEN lo + INTERVAL 1 DAY END AS DATE) AS VARCHAR) AS hi, approximate, uncertain FROM ("
+    + " UNION ALL ".join(_form_sql(*f) for f in _FORMS) + ")",
+)
 def time_expressions(spark, folder):
+    """Approximate, uncertain, partial and unreadable times of every order date."""
     days = table(spark, folder, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
-    t = s.time_expression(F.concat(F.lit("c. "), F.year("d").cast("string")))
-    return _text(days.select("d", F.year("d").alias("y"), t["lo"].alias("lo"), t["hi"].alias("hi")), "d", "lo", "hi")
+    tail = F.when(F.dayofmonth("d") % 2 == 0, "?").otherwise("")
+    forms = [F.concat(F.lit(mark), F.substring(F.col("d").cast("string"), 1, _SHOWN[g]), tail) for mark, g in _FORMS]
+    raw = days.select(F.explode(F.array(*forms)).alias("raw"))
+    t = s.time_expression(F.col("raw"))
+    return _text(raw.select("raw", t["grain"].alias("grain"), t["lo"].alias("lo"), t["hi"].alias("hi"), t["approximate"].alias("approximate"), t["uncertain"].alias("uncertain")), "lo", "hi")
 
 
 @query(
