@@ -24,20 +24,22 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.005, most: int = 512) -
 
 
 def distinct_counts(
-    df: DataFrame, group: str, key: str, item: str, salts: int = 64, share: float = 0.005, most: int = 512
+    df: DataFrame, group: str | list[str], key: str, item: str, salts: int = 64, share: float = 0.005, most: int = 512
 ) -> DataFrame:
     """Exact number of different ``item`` values per (``group``, ``key``): columns group, key, ``n``.
 
-    Defined cases: rows with a null group, key or item are left out; repeated rows count
-    once; an empty table gives no rows.
+    ``group`` may be several columns; a key is heavy if it holds much of all rows, under
+    whatever group. Defined cases: rows with a null group, key or item are left out;
+    repeated rows count once; an empty table gives no rows.
     """
-    rows = df.select(group, key, item).where(f"`{group}` is not null and `{key}` is not null and `{item}` is not null")
+    group = [group] if isinstance(group, str) else group
+    rows = df.select(*group, key, item).where(" and ".join(f"`{c}` is not null" for c in (*group, key, item)))
     heavy = F.broadcast(heavy_keys(rows, key, share, most).withColumn("_heavy", F.lit(True)))  # at most `most` rows
     tagged = rows.join(heavy, key, "left")
-    light = tagged.where("_heavy is null").groupBy(group, key).agg(F.count_distinct(item).alias("n"))
+    light = tagged.where("_heavy is null").groupBy(*group, key).agg(F.count_distinct(item).alias("n"))
     salt = F.pmod(F.xxhash64(item), F.lit(salts)).cast("int").alias("_salt")
     parts = (
-        tagged.where("_heavy").select(group, key, item, salt)
-        .groupBy(group, key, "_salt").agg(F.count_distinct(item).alias("n"))
+        tagged.where("_heavy").select(*group, key, item, salt)
+        .groupBy(*group, key, "_salt").agg(F.count_distinct(item).alias("n"))
     )
-    return light.unionByName(parts.groupBy(group, key).agg(F.sum("n").alias("n")))
+    return light.unionByName(parts.groupBy(*group, key).agg(F.sum("n").alias("n")))

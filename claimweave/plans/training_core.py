@@ -74,21 +74,21 @@ def p2_overflow(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Stored counts per batch and key that are null, missing, wrong or without any statement."""
-    stmts = table(spark, folder, "statements")
-    out = None
-    for listing, stored, key in (("predicate", "predicate_rows", "predicate"), ("context", "context_rows", "context")):
-        real = heavy.distinct_counts(stmts, "batch_id", key, "stmt_id")
-        # one stored row per batch and key; repeated or contradicting ones are wrong unless all agree
-        told = table(spark, folder, stored).groupBy("batch_id", key).agg(
-            F.min("count").alias("lo"), F.max("count").alias("hi"), F.count("*").alias("rows"), F.count("count").alias("known")
-        )
-        both = real.join(told, ["batch_id", key], "full_outer")
-        right = (F.col("rows") == F.col("known")) & (F.col("lo") == F.col("n")) & (F.col("hi") == F.col("n"))
-        bad = both.where(~F.coalesce(right, F.lit(False))).select(
-            F.lit(listing).alias("listing"), F.col("batch_id").cast("int").alias("batch_id"), F.col(key).alias("item")
-        )
-        out = bad if out is None else out.unionByName(bad)
-    return out
+    keys = {"predicate": "predicate_rows", "context": "context_rows"}
+    both = F.array(*[F.struct(F.lit(name).alias("listing"), F.col(name).alias("item")) for name in keys])
+    rows = table(spark, folder, "statements").select("batch_id", "stmt_id", F.inline(both))  # both listings in one pass
+    real = heavy.distinct_counts(rows, ["batch_id", "listing"], "item", "stmt_id")
+    stored = None
+    for name, stored_in in keys.items():
+        part = table(spark, folder, stored_in).select("batch_id", F.lit(name).alias("listing"), F.col(name).alias("item"), "count")
+        stored = part if stored is None else stored.unionByName(part)
+    # one stored row per batch and key; repeated or contradicting ones are wrong unless all agree
+    told = stored.groupBy("batch_id", "listing", "item").agg(
+        F.min("count").alias("lo"), F.max("count").alias("hi"), F.count("*").alias("rows"), F.count("count").alias("known")
+    )
+    both = real.join(told, ["batch_id", "listing", "item"], "full_outer")
+    right = (F.col("rows") == F.col("known")) & (F.col("lo") == F.col("n")) & (F.col("hi") == F.col("n"))
+    return both.where(~F.coalesce(right, F.lit(False))).select("listing", F.col("batch_id").cast("int").alias("batch_id"), "item")
 
 
 def history_intervals(spark: SparkSession, folder: str) -> DataFrame:
