@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from claimweave.plans import claim_queries as c
-from claimweave.plans import substrate_queries as sq
+from claimweave.plans import register_queries, substrate_queries as sq  # noqa: F401 (adds to the latter)
 from claimweave.plans import training_core as t
 
 TRAINING = {n: getattr(t, n) for n in ("p1_found", "p2_found", "p2_wide", "p2_overflow", "p4_found", "p4_paths", "p4_descendants", "p5_found", "p5_periods", "p6_found")}
