@@ -166,6 +166,8 @@ def _compare(left: Term, op: str, right: Term, bound: set[str]) -> Column:
         return F.lit(t.text)
 
     a, b = value(left), value(right)
+    if op == "bound":
+        return a.isNotNull()
     if op in ("=", "!="):
         if "lit" in (left.kind, right.kind):
             var, lit = (a, right.text) if right.kind == "lit" else (b, left.text)

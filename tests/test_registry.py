@@ -26,6 +26,19 @@ def test_entry_imports_without_llm():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_everything_but_llm_works_with_that_subpackage_taken_away(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/claimweave", tmp_path / "claimweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; n = e.queries(); assert 'p1_found' in n and 'p3_found' not in n and e.llm_registry is None; print(len(n))"
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert got.returncode == 0 and int(got.stdout) == len(registry.queries()), got.stderr
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - SLOW))
 def test_query(spark, con, name):
     df = registry.queries()[name](spark, DATA)
