@@ -217,7 +217,12 @@ def _durations(spark, folder):
     return table(spark, folder, "orders").select(F.col("o_orderpriority").alias("rule"), k.alias("report_id"), F.col("o_orderdate").alias("evaluated_at"), F.when(k % 10 != 0, F.col("o_totalprice")).alias("duration"))
 
 
-@query()
+@query(
+    "SELECT rule, report_id, round(z, 6) AS z, CASE WHEN z > 10 THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT rule, report_id, CASE WHEN mad = 0 THEN CASE WHEN x = med THEN 0.0 ELSE CAST('infinity' AS DOUBLE) END ELSE (x - med) / (1.4826 * mad) END AS z FROM "
+    "(SELECT *, list_median(list_transform(d, lambda q: abs(q - med))) AS mad FROM (SELECT *, list_median(d) AS med FROM (SELECT rule, report_id, x, list_transform(list_filter(p, lambda q: q.t >= day - INTERVAL 30 DAY), lambda q: q.x) AS d FROM "
+    "(SELECT rule, report_id, day, x, list({'t': day, 'x': x}) OVER (PARTITION BY rule ORDER BY day, report_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS p FROM "
+    "(SELECT o_orderpriority AS rule, o_orderkey AS report_id, o_orderdate AS day, o_totalprice AS x FROM orders WHERE o_orderkey % 10 <> 0 AND o_totalprice IS NOT NULL))) WHERE len(d) >= 3))) WHERE z > 3",
+)
 def rule_duration(spark, folder):
     return detect.rule_duration(_durations(spark, folder), warn=3.0).withColumn("z", F.round("z", 6))
 

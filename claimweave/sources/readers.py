@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
@@ -189,12 +190,21 @@ def read_cldf(spark: SparkSession, folder: str, prefix: str = "cldf:", context:
 def read_whole(spark: SparkSession, path: str, parse: Callable[[str], list[tuple]], context: str) -> DataFrame:
     """One parser call per file: ``parse`` returns (subject, predicate, iri, literal JSON, context or None)."""
 
+    alone = path.rstrip("/").rsplit("/", 1)[-1]
+
+    def own(term: str | None, file: str) -> str | None:
+        """Blank nodes belong to their file: of several files read together, each gets its own names."""
+        return f"_:{file}{term[2:]}" if term is not None and term.startswith("_:") and file else term
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for text in b["value"] for r in parse(text)]
-            yield pd.DataFrame([(*r[:4], r[4] or context) for r in rows], columns=["subject", "predicate", "object_iri", "object_lit", "context"])
+            rows = []
+            for text, name in zip(b["value"], b["file"]):
+                file = "" if name.rsplit("/", 1)[-1] == alone else f"f{zlib.crc32(name.encode()):08x}{len(name)}x"
+                rows += [(own(r[0], file), r[1], own(r[2], file), r[3], r[4] or context) for r in parse(text)]
+            yield pd.DataFrame(rows, columns=["subject", "predicate", "object_iri", "object_lit", "context"])
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, SCHEMA)
+    return spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file")).mapInPandas(run, SCHEMA)
 
 
 def lit(value, dt: str = "xsd:string", lang: str | None = None) -> str:
