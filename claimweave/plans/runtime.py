@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_OWN: list[str] = []  # the folder made where the session names none
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach; a local one is made only where none is set (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,8 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        path = "file://" + tempfile.mkdtemp(prefix="claimweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="claimweave-"))
+        path = _OWN[0]
     return path.rstrip("/")
 
 

@@ -65,17 +65,11 @@ def test_meaning_clusters_follow_chains_and_loops(spark):
     assert got == {"a": {"a", "b", "c"}, "x": {"x"}, "z": {"y", "z"}}
 
 
-def test_scratch_tables_go_at_the_end(spark, tmp_path):
-    held = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        kept = list(runtime._ROOTS)
-        runtime._ROOTS.clear()
-        scratch = runtime.Scratch(spark, "t")
-        frame, n = scratch.keep_counting(spark.range(10), "id > 6")
-        assert n == 3 and frame.count() == 10 and os.listdir(tmp_path / "claimweave")
-        runtime.remove_scratch()
-        assert not os.listdir(tmp_path / "claimweave")
-        runtime._ROOTS.extend(kept)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", held)
+def test_scratch_tables_go_at_the_end(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runtime, "shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(runtime, "_ROOTS", [])
+    scratch = runtime.Scratch(spark, "t")
+    frame, n = scratch.keep_counting(spark.range(10), "id > 6")
+    assert n == 3 and frame.count() == 10 and os.listdir(tmp_path / "claimweave")
+    runtime.remove_scratch()
+    assert not os.listdir(tmp_path / "claimweave")
