@@ -29,9 +29,9 @@ def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     scratch = Scratch(pairs.sparkSession, "groups")
     keep = scratch.keep
     edges = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    edges = keep(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    edges, left_over = scratch.keep_counting(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "true")
     levels: list[DataFrame] = []
-    while not edges.isEmpty():
+    while left_over:
         arcs = edges.select(F.inline(F.array(
             F.struct(F.col("u").alias("node"), "u", "v"), F.struct(F.col("v").alias("node"), "u", "v")
         )))
@@ -43,16 +43,17 @@ def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
         scratch.drop(hook)
         while True:
             step = tree.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-            new = keep(tree.join(step, "up").select("node", F.col("up2").alias("up"), (F.col("up2") != F.col("up")).alias("moved")))
+            jumped = tree.join(step, "up").select("node", F.col("up2").alias("up"), (F.col("up2") != F.col("up")).alias("moved"))
+            new, moved = scratch.keep_counting(jumped, "moved")
             scratch.drop(tree)
             tree = new
-            if tree.where("moved").isEmpty():
+            if not moved:
                 break
         levels.append(tree.select("node", "up"))
         left = tree.select(F.col("node").alias("u"), F.col("up").alias("ru"))
         right = tree.select(F.col("node").alias("v"), F.col("up").alias("rv"))
         ends = edges.join(left, "u").join(right, "v").where("ru <> rv")
-        new = keep(ends.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        new, left_over = scratch.keep_counting(ends.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "true")
         scratch.drop(edges)
         edges = new
     if not levels:
