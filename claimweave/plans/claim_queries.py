@@ -152,16 +152,45 @@ def normalize_predicate(spark, folder):
     return table(spark, folder, "predicate_types").select("predicate", s.local_words(F.col("predicate")).alias("words"))
 
 
+_WORDS = (
+    "w AS (SELECT predicate AS iri, unnest(string_split(trim(regexp_replace(lower(regexp_replace(regexp_extract(predicate, '([^/#:]*)$', 1), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM predicate_types)"
+)
+_GRAMS = (
+    "g AS (SELECT iri, list_distinct(flatten(list(list_transform(range(1, length(word) + 2), lambda i: substr('  ' || word || ' ', i, 3))))) AS g FROM w GROUP BY iri)"
+)
+_LIKE = "len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g)))::DOUBLE"
+
+
 @query(
     "SELECT x.iri AS a, y.iri AS b, round(len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g)))::DOUBLE, 6) AS similarity FROM g x JOIN g y ON x.iri < y.iri "
     "WHERE len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g)))::DOUBLE >= 0.4",
-    "w AS (SELECT predicate AS iri, unnest(string_split(trim(regexp_replace(lower(regexp_replace(regexp_extract(predicate, '([^/#:]*)$', 1), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM predicate_types)",
-    "g AS (SELECT iri, list_distinct(flatten(list(list_transform(range(1, length(word) + 2), lambda i: substr('  ' || word || ' ', i, 3))))) AS g FROM w GROUP BY iri)",
+    _WORDS, _GRAMS,
 )
 def lexical_pairs(spark, folder):
     return align.lexical_pairs(fx.predicates(spark, folder), 0.4).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query(
+    f"SELECT DISTINCT least(a, b) AS source, greatest(a, b) AS target, round(sim, 6) AS confidence FROM (SELECT x.iri AS a, y.iri AS b, {_LIKE} AS sim FROM g x JOIN g y ON x.iri <> y.iri "
+    f"WHERE {_LIKE} >= 0.5 AND (least(x.iri, y.iri), greatest(x.iri, y.iri)) NOT IN (SELECT least(source, target), greatest(source, target) FROM al)) QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) = 1",
+    A, _WORDS, _GRAMS,
+)
+def auto_align(spark, folder):
+    """Each predicate's best lexical partner that it isn't aligned with yet."""
+    got = align.auto_align(fx.predicates(spark, folder), fx.alignments(spark, folder), 0.5)
+    return got.select("source", "target", F.round("confidence", 6).alias("confidence"))
+
+
+@query(
+    f"SELECT y.iri AS target, round({_LIKE}, 6) AS similarity FROM g x JOIN g y ON x.iri = 'ex:birthYear' AND y.iri <> x.iri WHERE {_LIKE} >= 0.2 "
+    "AND y.iri NOT IN (SELECT target FROM al WHERE source = 'ex:birthYear' UNION SELECT source FROM al WHERE target = 'ex:birthYear') ORDER BY similarity DESC, target LIMIT 50", A, _WORDS, _GRAMS,
+)
+def suggest_alignments(spark, folder):
+    """Best lexical matches of one predicate that are not aligned with it yet: a top-50 report."""
+    got = align.suggest_alignments(fx.predicates(spark, folder), fx.alignments(spark, folder), "ex:birthYear", 0.2, 50)
+    return got.select("target", F.round("similarity", 6).alias("similarity"))
+
+
 @query(
     "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))), 6) AS similarity "
     "FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 10",
