@@ -27,7 +27,7 @@ def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     no rows.
     """
     scratch = Scratch(pairs.sparkSession, "groups")
-    keep = scratch.keep
+    keep, sized = scratch.keep, scratch.sized
     edges = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     edges = keep(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     levels: list[DataFrame] = []
@@ -37,21 +37,21 @@ def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
         )))
         chosen = arcs.groupBy("node").agg(F.min(F.struct("u", "v")).alias("e"))
         hook = keep(chosen.select("node", F.when(F.col("e.u") == F.col("node"), F.col("e.v")).otherwise(F.col("e.u")).alias("up")))
-        back = hook.select(F.col("node").alias("up"), F.col("up").alias("up2"))
+        back = sized(hook).select(F.col("node").alias("up"), F.col("up").alias("up2"))
         mutual = (F.col("up2") == F.col("node")) & (F.col("node") < F.col("up"))
-        tree = keep(hook.join(back, "up").select("node", F.when(mutual, F.col("node")).otherwise(F.col("up")).alias("up")))
+        tree = keep(sized(hook).join(back, "up").select("node", F.when(mutual, F.col("node")).otherwise(F.col("up")).alias("up")))
         scratch.drop(hook)
         while True:
-            step = tree.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-            new = keep(tree.join(step, "up").select("node", F.col("up2").alias("up"), (F.col("up2") != F.col("up")).alias("moved")))
+            step = sized(tree).select(F.col("node").alias("up"), F.col("up").alias("up2"))
+            new = keep(sized(tree).join(step, "up").select("node", F.col("up2").alias("up"), (F.col("up2") != F.col("up")).alias("moved")))
             scratch.drop(tree)
             tree = new
             if tree.where("moved").isEmpty():
                 break
-        levels.append(tree.select("node", "up"))
-        left = tree.select(F.col("node").alias("u"), F.col("up").alias("ru"))
-        right = tree.select(F.col("node").alias("v"), F.col("up").alias("rv"))
-        ends = edges.join(left, "u").join(right, "v").where("ru <> rv")
+        levels.append(sized(tree).select("node", "up"))
+        left = levels[-1].select(F.col("node").alias("u"), F.col("up").alias("ru"))
+        right = levels[-1].select(F.col("node").alias("v"), F.col("up").alias("rv"))
+        ends = sized(edges).join(left, "u").join(right, "v").where("ru <> rv")
         new = keep(ends.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
         scratch.drop(edges)
         edges = new
@@ -62,5 +62,6 @@ def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
         onward = final.select(F.col("node").alias("up"), F.col("up").alias("top"))
         final = level.join(onward, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
     final = keep(final)
+    final = sized(final)
     smallest = final.groupBy("up").agg(F.min("node").alias("group_id"))
     return final.join(smallest, "up").select("node", "group_id")

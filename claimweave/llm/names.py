@@ -291,11 +291,11 @@ def link_names(records: DataFrame, lists: bool = True) -> DataFrame:
     """
     spark = records.sparkSession
     scratch = Scratch(spark, "names")
-    keep = scratch.keep
+    keep, sized = scratch.keep, scratch.sized  # no table that grows with the corpus is joined through the driver
     names = records.select("name", "hint").where("name is not null").distinct()
     read = names.select(F.to_json(F.struct("name", "hint")).alias("key"), "name", "hint")
     parsed = keep(read.mapInPandas(_read(lists), f"key string, {PROFILE}"))
-    placed = keep(place_loose(parsed))
+    placed = keep(place_loose(sized(parsed)))
     scratch.drop(parsed)
     full = learn_short_forms(placed.where("kind = 'p'"))
     placed = placed.join(full, "given", "left").withColumns({
@@ -303,25 +303,26 @@ def link_names(records: DataFrame, lists: bool = True) -> DataFrame:
     }).drop("full")
     placed = keep(placed.withColumn("pid", F.concat_ws("|", "kind", "main", "given", "initial", "more")))
     tagged = records.select("key", F.to_json(F.struct("name", "hint")).alias("spelling"))
-    members = keep(tagged.join(placed.select(F.col("key").alias("spelling"), "pid"), "spelling").groupBy("key").agg(F.min("pid").alias("pid")))
+    members = keep(tagged.join(sized(placed).select(F.col("key").alias("spelling"), "pid"), "spelling").groupBy("key").agg(F.min("pid").alias("pid")))
     profiles = keep(placed.groupBy("pid", "kind", "main", "given", "initial", "more").agg(F.collect_set("written").alias("written")))
     blocks = keep(blocking_keys(profiles, F.col("initial")))
-    pairs = keep(candidate_pairs(blocks, blocks))
-    cluster = profiles.select("pid", F.col("pid").alias("cid"))
+    every = sized(blocks)
+    pairs = keep(candidate_pairs(every, every))
+    cluster = sized(profiles).select("pid", F.col("pid").alias("cid"))
     while True:
         # what each cluster knows by now: unions over its profiles
-        known = profiles.join(cluster, "pid").groupBy("cid").agg(
+        known = sized(profiles).join(cluster, "pid").groupBy("cid").agg(
             F.collect_set(F.nullif("given", F.lit(""))).alias("givens"),
             F.array_distinct(F.flatten(F.collect_set(F.split(F.col("more"), "")))).alias("more"),
         ).withColumn("more", F.array_remove("more", ""))
         known = keep(known)
         between = (
-            pairs.join(cluster.select(F.col("pid").alias("p"), F.col("cid").alias("c1")), "p")
+            sized(pairs).join(cluster.select(F.col("pid").alias("p"), F.col("cid").alias("c1")), "p")
             .join(cluster.select(F.col("pid").alias("q"), F.col("cid").alias("c2")), "q").where("c1 <> c2")
             .select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2"), "far")
             .groupBy("c1", "c2").agg(F.min("far").alias("far"))
         )
-        side = lambda n: known.select(F.col("cid").alias(f"c{n}"), F.col("givens").alias(f"g{n}"), F.col("more").alias(f"m{n}"))
+        side = lambda n: sized(known).select(F.col("cid").alias(f"c{n}"), F.col("givens").alias(f"g{n}"), F.col("more").alias(f"m{n}"))
         judged = between.join(side(1), "c1").join(side(2), "c2")
         clash = (F.size("m1") > 0) & (F.size("m2") > 0) & ~F.arrays_overlap("m1", "m2")
         judged = keep(judged.where(~clash).withColumns({"n1": F.size("g1"), "n2": F.size("g2")}))
@@ -329,7 +330,7 @@ def link_names(records: DataFrame, lists: bool = True) -> DataFrame:
         same = judged.where("n1 > 0 and n2 > 0").where(F.arrays_overlap("g1", "g2") | agreeing).select("c1", "c2")
         # a cluster with only an initial: the one best fuller cluster, or none
         agree = F.when(F.arrays_overlap("m1", "m2"), 0).otherwise(1)
-        half = judged.where("(n1 > 0) <> (n2 > 0)").select(
+        half = sized(judged).where("(n1 > 0) <> (n2 > 0)").select(
             F.when(F.col("n1") == 0, F.col("c1")).otherwise(F.col("c2")).alias("x"),
             F.when(F.col("n1") == 0, F.col("c2")).otherwise(F.col("c1")).alias("y"),
             (2 * F.col("far") + agree).alias("rank"),
@@ -340,7 +341,7 @@ def link_names(records: DataFrame, lists: bool = True) -> DataFrame:
         )
         joined = best.where("b.lo = b.hi").select(F.col("x").alias("c1"), F.col("b.lo").alias("c2"))
         waiting = half.select("x").distinct()
-        bare = judged.where("n1 = 0 and n2 = 0").select("c1", "c2")
+        bare = sized(judged).where("n1 = 0 and n2 = 0").select("c1", "c2")
         bare = bare.join(waiting.select(F.col("x").alias("c1")), "c1", "left_anti").join(waiting.select(F.col("x").alias("c2")), "c2", "left_anti")
         accepted = keep(same.unionByName(joined).unionByName(bare))
         scratch.drop(judged, known)
@@ -348,20 +349,20 @@ def link_names(records: DataFrame, lists: bool = True) -> DataFrame:
             break
         merged = connected_groups(accepted, "c1", "c2")
         grown = keep(merged.select("group_id").distinct())
-        cluster = keep(
+        cluster = sized(keep(
             cluster.join(merged.select(F.col("node").alias("cid"), "group_id"), "cid", "left")
             .select("pid", F.coalesce("group_id", "cid").alias("cid"))
-        )
+        ))
         # clusters that grew enter blocking again: every spelling of theirs under every initial they know by now
-        inside = profiles.join(cluster.join(grown.select(F.col("group_id").alias("cid")), "cid", "left_semi"), "pid")
+        inside = sized(profiles).join(cluster.join(sized(grown).select(F.col("group_id").alias("cid")), "cid", "left_semi"), "pid")
         initials = inside.select("cid", F.explode(F.array_distinct(F.concat("written", F.array("initial")))).alias("i")).where("i <> ''").distinct()
         richer = inside.join(initials, "cid").where("i <> initial").drop("initial")
         fresh = blocking_keys(richer, F.col("i"))
-        fresh = keep(fresh.join(blocks.select("pid", "initial", "cut"), ["pid", "initial", "cut"], "left_anti"))
+        fresh = keep(fresh.join(sized(blocks).select("pid", "initial", "cut"), ["pid", "initial", "cut"], "left_anti"))
         if not fresh.isEmpty():
             blocks = keep(blocks.unionByName(fresh.select(*blocks.columns)))
-            pairs = keep(pairs.unionByName(candidate_pairs(fresh, blocks)).groupBy("p", "q").agg(F.min("far").alias("far")))
-    return members.join(cluster, "pid").select("key", F.col("cid").alias("cluster"))
+            pairs = keep(pairs.unionByName(candidate_pairs(sized(fresh), sized(blocks))).groupBy("p", "q").agg(F.min("far").alias("far")))
+    return sized(members).join(cluster, "pid").select("key", F.col("cid").alias("cluster"))
 
 
 def blocking_keys(profiles: DataFrame, initial) -> DataFrame:

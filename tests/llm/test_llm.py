@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from brute import groups as brute_groups
 
 from claimweave.llm import boosting, groups, leaks, names, packing, queries, reading
+from claimweave.plans.runtime import Scratch
 
 DATA = "/root/testdata/sf0.001"
 
@@ -98,6 +99,20 @@ def test_grown_clusters_enter_blocking_again(spark):
     assert {"1", "2", "3", "4"} in got.values() and {"5"} in got.values()
 
 
+def test_tables_of_the_corpus_are_not_joined_through_the_driver(spark):
+    scratch = Scratch(spark, "sized")
+    large, small = scratch.keep(spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))), scratch.keep(spark.range(5).select(F.col("id").cast("string").alias("k")))
+    plan = lambda a, b: a.join(b, "k")._jdf.queryExecution().sparkPlan().toString()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        assert "Broadcast" in plan(large, large.select("k"))  # what Spark does by itself
+        assert "Broadcast" not in plan(scratch.sized(large), scratch.sized(large).select("k").distinct())
+        assert "Broadcast" in plan(scratch.sized(large), scratch.sized(small))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_packing_is_tight_and_whole(spark):
     rng = random.Random(4)
     rows = [(i, 0, rng.choice([0, 3, 700, 700, rng.randrange(1, 1500), rng.randrange(1, 9000)])) for i in range(1500)]
