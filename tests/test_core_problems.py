@@ -34,6 +34,13 @@ def test_instants_equal_brute_force(spark):
     assert got == want
 
 
+def test_zones_are_estimated_only_where_it_counts(spark, monkeypatch):
+    every = t.p1_instants(spark, DATA).where("basis <> 'estimated'").drop("basis")
+    monkeypatch.setattr("claimweave.operators.instants.estimate_zones", lambda *a: pytest.fail("an estimate without effect"))
+    found = t.p1_found(spark, DATA)
+    assert found.exceptAll(every).isEmpty() and every.exceptAll(found).isEmpty() and not found.isEmpty()
+
+
 CASES = [
     ("2021-03-28T02:30:00", "Europe/Berlin", None),  # never
     ("2021-10-31 02:30", "Europe/Berlin", None),  # twice
