@@ -251,20 +251,38 @@ def fold_column(x):
     return F.regexp_replace(w, r"(.)\1+", "$1")
 
 
-def learn_short_forms(people: DataFrame, most: int = 12, least: int = 3, share: float = 0.3) -> DataFrame:
+def learn_short_forms(people: DataFrame, least: int = 3, share: float = 0.3) -> DataFrame:
     """``given, full``: first names that stand beside the same main names as another, commoner one.
 
-    Only main names with at most ``most`` different first names say something: under a
-    common one, first names meet by chance. A pair needs ``least`` such main names and a
-    ``share`` of the rarer name's; the commonest partner wins.
+    All main names count. Under a common one first names meet by chance, so from the main
+    names that two first names share goes the number expected by chance: the other places
+    beside the rarer name, each with the commoner one's share of all places, one per main
+    name at most. What is left must be ``least`` main names (rounded up) and a ``share``
+    of those of the rarer name that chance doesn't fill, and so many meetings must by
+    chance (Chernoff's bound for Poisson counts) be rarer than one in the number of first
+    names that have ``least`` main names; the commonest partner wins.
     """
     both = people.where("given <> '' and main <> ''").select("main", "given").distinct()
-    few = both.groupBy("main").agg(F.collect_list("given").alias("g")).where(F.size("g").between(2, most))
-    rare = few.select("main", F.explode("g").alias("given"))
-    alone = both.groupBy("given").agg(F.count("*").alias("n"))
-    met = rare.join(few, "main").select("given", F.explode("g").alias("full")).where("given <> full").groupBy("given", "full").agg(F.count("*").alias("k"))
-    scored = met.where(F.col("k") >= least).join(alone, "given").join(alone.select(F.col("given").alias("full"), F.col("n").alias("m")), "full")
-    scored = scored.where((F.col("k") >= share * F.col("n")) & ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("given") > F.col("full")))))
+    # a first name of fewer main names can't share enough of them, so it is no partner and takes no place
+    alone = both.groupBy("given").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    able = both.join(alone, "given")
+    under = able.groupBy("main").agg(F.count("*").alias("d"))
+    total = alone.agg(F.sum("n").alias("places"), F.count("*").alias("names"))
+    able = able.join(under.where("d > 1"), "main")
+    # pairs under a main name of very many are made in slices of the rarer name's side
+    slices = F.ceil(F.col("d") / 1024).cast("int")
+    a = able.select("main", "given", "n", F.pmod(F.xxhash64("given"), slices).cast("int").alias("slice"))
+    b = able.select("main", F.col("given").alias("full"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    rarer = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("given") > F.col("full")))
+    met = a.join(b, ["main", "slice"]).where(rarer).groupBy("given", "full", "n", "m").agg(F.count("*").alias("k")).where((F.col("k") >= least) & (F.col("k") >= share * F.col("n")))
+    places = able.groupBy("given", "d").agg(F.count("*").alias("c")).groupBy("given").agg(F.collect_list(F.struct("d", "c")).alias("beside"))  # one entry per size
+    scored = met.join(places, "given").crossJoin(F.broadcast(total))
+    part = F.col("m") / (F.col("places") - F.col("n"))
+    chance = F.aggregate("beside", F.lit(0.0), lambda acc, x: acc + x["c"] * F.least(F.lit(1.0), (x["d"] - 1) * part))
+    scored = scored.withColumn("e", chance)
+    left = F.col("k") - F.col("e")
+    clear = F.col("k") * F.log(F.col("k") / F.col("e")) - left > F.log("names")
+    scored = scored.where((F.ceil(left) >= least) & (left >= share * (F.col("n") - F.col("e"))) & clear)
     return scored.groupBy("given").agg(F.max_by("full", F.struct("k", "m", "full")).alias("full"))
 
 

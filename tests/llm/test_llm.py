@@ -89,6 +89,18 @@ def test_names_off_every_list_are_linked(spark):
     assert linked == {("a", "b"), ("c", "d"), ("f", "g")}
 
 
+def test_short_forms_are_learned_under_common_main_names(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(120):
+        firsts = rng.sample([f"f{i:02d}" for i in range(50)], 14)  # more than 12 beside every main name
+        firsts += ["short"] * ("f00" in firsts and rng.random() < 0.7)
+        rows += [(f"m{k}", f) for f in firsts]
+    rows += [("all", f"f{i:02d}") for i in range(50)] + [("all", "short")] + [("all", f"x{i}") for i in range(3000)]
+    learned = names.learn_short_forms(spark.createDataFrame(rows, "main string, given string"))
+    assert [tuple(r) for r in learned.collect()] == [("short", "f00")]
+
+
 def test_grown_clusters_enter_blocking_again(spark):
     rows = [("1", "Robert Kelmanostu"), ("2", "Bob Kelmanostu"), ("3", "Robert Kelmanotstu"), ("4", "B. Kelmanotstus"), ("5", "Z. Kelmanotstus")]
     df = spark.createDataFrame([(k, n, "person") for k, n in rows], "key string, name string, hint string")
